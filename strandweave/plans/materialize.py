@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.registry import FunctionLibrary
 from ..functions.text import compact, expand_name, template
+from ..sources.paths import located
 from .mapping import ClassRule, MappingPlan, SlotRule
 
 
@@ -25,6 +26,7 @@ def scan(spark: SparkSession, path: str, source_format: str, row_tag: str | None
 
     ``iterator`` names a path to an array whose items are the rows.
     """
+    path = located(path)
     if source_format in ("csv", "tsv"):
         df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", "\t" if source_format == "tsv" else ",").csv(path)
         first = df.columns[0] if df.columns else ""

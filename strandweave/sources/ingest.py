@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .. import vocab
 from .model import Schema
+from .paths import located
 from .turtle import parse
 
 FORMATS = ["json-schema", "openapi", "xsd", "csv", "tsv", "json-sample", "rdfs"]
@@ -70,7 +71,7 @@ def from_tabular(spark: SparkSession, path: str, name: str, separator: str = ","
     one is a unique key."""
     if not str(path).startswith(("viewfs:", "hdfs:", "s3")):
         read_text(str(path).removeprefix("file://"))
-    df = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=separator).csv(str(path))
+    df = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=separator).csv(located(path))
     if not df.columns:
         raise ValueError(f"{path} has no header")
     names = [c.lstrip("﻿") if i == 0 else c for i, c in enumerate(df.columns)]
@@ -206,7 +207,7 @@ def from_spark_type(kind: T.DataType, name: str) -> dict:
 
 def from_json_sample(spark: SparkSession, path: str, name: str) -> Schema:
     """The union of all objects of a sample, a list or one object; nested objects are classes."""
-    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(str(path))
+    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(located(path))
     return from_json_schema(from_spark_type(df.schema, name) | {"title": name}, name)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import vocab
+from .paths import located
 
 LEGACY = vocab.MAPPING_COLUMNS[:-1]
 
@@ -24,6 +25,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     left out with a warning; short rows end in nulls.  Empty optional cells are null, empty labels empty, an
     empty confidence 0; dates without a zone are UTC.
     """
+    path = located(path)
     file = Path(path.removeprefix("file://"))
     if "://" not in path.removeprefix("file://") and not file.exists():
         return spark.createDataFrame([], vocab.LOG)

@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
     from strandweave.session import session
 
     shared = tmp_path_factory.mktemp("shared")
-    out = session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g", spark__checkpoint__dir=f"file://{shared}")
+    out = session("tests", "local[4]", spark__sql__shuffle__partitions="3", spark__sql__codegen__wholeStage="false", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g", spark__checkpoint__dir=f"file://{shared}")
     out.sparkContext.setLogLevel("ERROR")
     yield out
     out.stop()

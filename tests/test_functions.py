@@ -10,7 +10,7 @@ from strandweave.functions.registry import Declaration, FunctionLibrary
 NAMES = {
     "hoyde_m": "unit:M", "altitude_ft": "unit:FT", "hasAltitudeFt": "unit:FT", "hastighet_kmh": "unit:KiloM-PER-HR", "speed_km_h": "unit:KiloM-PER-HR",
     "kurs_grader": "unit:DEG", "bearing": "unit:DEG", "freq_MHz": "unit:MegaHZ", "signal_dbm": None, "mass_kg": "unit:KiloGM", "team": None, "program": None,
-    "pressure_hPa": "unit:HectoPa", "duration_secs": "unit:SEC", "temp_degC": "unit:degC", "alt123Ft": "unit:FT", "": None,
+    "pressure_hpa": "unit:HectoPa", "pressure_hPa": "unit:PA", "duration_secs": "unit:SEC", "temp_degc": "unit:degC", "temp_degC": None, "alt123Ft": "unit:FT", "": None,
 }
 DESCRIPTIONS = {
     "WGS-84 latitude in decimal degrees": "unit:DEG", "in meters": None, "in metres": "unit:M", "degrees true": None, "one degree": "unit:DEG", "in GHz": "unit:GigaHZ",

@@ -85,7 +85,7 @@ def test_triples_and_jsonld(spark):
     plan, _ = mapping.compile_plan(approved(spark), SOURCE, TARGET, FunctionLibrary.builtins())
     got = materialize.materialize(plan, data(spark))
     rows_ = {(r.s.rsplit("/", 1)[-1], r.p.rsplit("/", 1)[-1].rsplit("#", 1)[-1], r.o) for r in got.collect()}
-    assert got.count() == len(rows_) == 8
+    assert got.count() == len(rows_) == 7
     assert ("T%201", "hasHeightFt", "328.084") in rows_ and ("T%201", "hasLat", "[60.1,11.1]") in rows_
     assert ("T2", "hasHeightFt", "x") not in rows_ and ("T2", "hasSpeed", "400") in rows_
     doc = json.loads(materialize.jsonld_document(got, plan))
