@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .storage import Workspace
 
 
-def _stars(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
+def _stars(edges: DataFrame, work: Workspace, name: str, rows: int) -> DataFrame:
     """(u, m): the least of u and its neighbours."""
-    return work.table(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+    return work.table(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name, rows)
 
 
 def components(links: DataFrame, work: Workspace, tag: str = "cc") -> DataFrame:
@@ -26,14 +26,15 @@ def components(links: DataFrame, work: Workspace, tag: str = "cc") -> DataFrame:
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, turn = work.table(pairs, f"{tag}-0"), 0
+    rows = 2 * edges.count()  # contraction never adds edges
     while True:
         turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_stars(both, work, f"{tag}-l{turn}"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = work.table(large, f"{tag}-a{turn}")
-        low = _stars(large, work, f"{tag}-s{turn}")
+        large = both.join(_stars(both, work, f"{tag}-l{turn}", rows), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = work.table(large, f"{tag}-a{turn}", rows)
+        low = _stars(large, work, f"{tag}-s{turn}", rows)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        edges = work.table(small, f"{tag}-{turn}")
+        edges = work.table(small, f"{tag}-{turn}", rows)
         for old in (f"{tag}-{turn - 1}", f"{tag}-l{turn}", f"{tag}-a{turn}", f"{tag}-s{turn}"):
             work.drop(old)
         several = edges.groupBy("u").count().where("count > 1").select("u").limit(1)

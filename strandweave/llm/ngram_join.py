@@ -15,10 +15,11 @@ share at least ``ceil(0.8 n)`` elements, so the first ``n - ceil(0.8 n) + c`` el
 The boundary is the size at which the estimated rows (subsets against postings and the partners met in
 their lists) are fewest.  Any order and any boundary give the same links; they only change the cost.
 
-No list is expanded into all its pairs.  Within a long list, each size band offers a few pivots and the
-other members meet only these; after links have been contracted, lists whose members are still in several
-components go on with further pivots, always from outside the list's largest component, until each list
-is in one component or every member outside the largest has met all others.  Each candidate is verified
+No list is expanded into all its pairs.  Within a long list, each size band offers a pivot and the other
+members meet only these; after links have been contracted, lists whose members are still in several
+components go on: first the members outside the largest component meet a few of its members, and then what
+is left of them meets everyone, so that each list is in one component or every member outside its largest
+has met all others.  Each candidate is verified
 on the whole sets.
 """
 
@@ -34,14 +35,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .bytetext import chunks, mix, shingle_sets
+from .bytetext import chunks, mix, ragged, shingle_sets
 from .components import components
 from .storage import Workspace, partitions_for
 
 #: Lists up to this long meet in all their (at most 120) pairs at once.
 SHORT_LIST = 16
-#: Pivots of a size band in a longer list at first, and of a list in each later round.
-FIRST_PIVOTS, MORE_PIVOTS = 2, 32
+#: Pivots of a size band in a longer list at first, members of a list's largest component that the others
+#: meet in each of the probing rounds, and pivots of a list in each later round.
+FIRST_PIVOTS, PROBES, PROBING_ROUNDS, MORE_PIVOTS = 1, 3, 2, 32
+#: A list has all its other members as pivots at once where these meet at most so many members.
+ROUND_PAIRS = 2_000
+#: Elements of the sets that are carried to the workers at once when what is left meets everyone (eight bytes
+#: each), and most such blocks; beyond that the lists go on round by round.
+BLOCK_ELEMENTS, MOST_BLOCKS = 1 << 21, 16
 #: Shingles whose document frequency is kept for the global order: at most this many, in memory of every
 #: worker (16 bytes each).  Beyond it the least frequent are ordered by hash like the rare ones.
 ORDERED = 1 << 20
@@ -302,9 +309,9 @@ def _scan(lists: DataFrame, light: int, num: int, den: int) -> DataFrame:
     return lists.mapInArrow(run, "kind int, a long, b long, c long")
 
 
-def _needed(spark, candidates: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each node among the candidates."""
-    spots = candidates.select(F.explode(F.array("a", "b")).alias("node")).selectExpr(f"pmod(node, {bits}) as spot")
+def _needed(nodes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size with a bit for each node."""
+    spots = nodes.selectExpr(f"pmod(node, {bits}) as spot")
     words = spots.selectExpr("spot div 64 as w", "shiftleft(1L, cast(spot % 64 as int)) as bit").groupBy("w").agg(F.bit_or("bit").alias("m"))
     out = np.zeros(bits // 64, np.int64)
     found = words.toArrow()
@@ -312,13 +319,12 @@ def _needed(spark, candidates: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _verified(docs: DataFrame, text_col: str, candidates: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """The candidates (a, b) whose whole sets link."""
-    spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(_needed(spark, candidates, BITS))
+def _bodies(docs: DataFrame, text_col: str, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, body): the whole sets of the nodes, and of the few others that share their bits."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_needed(nodes, BITS))
     bits = BITS
 
-    def wanted(batches):
+    def run(batches):
         need, seen = bitmap.value, set()
         for batch in batches:
             names, blobs = [], []
@@ -335,6 +341,12 @@ def _verified(docs: DataFrame, text_col: str, candidates: DataFrame, num: int, d
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["node", "body"])
 
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, body binary").groupBy("node").agg(F.any_value("body").alias("body"))
+
+
+def _verified(sets: DataFrame, candidates: DataFrame, num: int, den: int) -> DataFrame:
+    """The candidates (a, b) whose whole sets link."""
+
     def verify(batches):
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
@@ -348,23 +360,87 @@ def _verified(docs: DataFrame, text_col: str, candidates: DataFrame, num: int, d
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    sets = docs.select(F.col(text_col).alias("text")).mapInArrow(wanted, "node long, body binary").groupBy("node").agg(F.any_value("body").alias("body"))
     joined = candidates.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
     return joined.select("a", "b", "body_a", "body_b").mapInArrow(verify, "a long, b long")
 
 
-def _further(lists: DataFrame, labels: DataFrame, used: DataFrame | None, num: int, den: int, work: Workspace, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates and pivots (key, node) of the lists whose members are still in several components."""
-    marked = work.table(lists.join(labels, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), f"marked-{turn}")
+def _scanned(sets: DataFrame, rest: DataFrame, num: int, den: int, work: Workspace) -> DataFrame | None:
+    """Links (a, b) of the nodes of ``rest`` with all sets; None where they are too many to carry.
+
+    A block's sets go out as one inverted index; every set walks its elements' lists and counts what it
+    shares with each, so there is a row a link and none a pair.
+    """
+    spark = sets.sparkSession
+    left = work.table(sets.join(rest.select("node").distinct(), "node", "left_semi"), "left")
+    elements = (left.agg(F.sum(F.length("body"))).first()[0] or 0) // 8
+    blocks = max(1, -(-2 * elements // BLOCK_ELEMENTS))
+    if blocks > MOST_BLOCKS:
+        return None
+    links = spark.createDataFrame([], "a long, b long")
+    for i in range(blocks):
+        own = left.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i).toArrow()
+        bodies = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("body")]
+        if not bodies:
+            continue
+        size = np.array([len(x) for x in bodies])
+        element, owner = np.concatenate(bodies), np.repeat(np.arange(len(bodies)), size)
+        order = np.argsort(element, kind="stable")
+        carried = spark.sparkContext.broadcast((own.column("node").to_numpy(), size, element[order], owner[order]))
+
+        def walk(batches, carried=carried):
+            names, size, element, owner = carried.value
+            for batch in batches:
+                a, b = [], []
+                for node, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    x = np.frombuffer(body.as_buffer(), np.uint64)
+                    first, last = np.searchsorted(element, x, "left"), np.searchsorted(element, x, "right")
+                    both = np.bincount(owner[ragged(first, last - first)], minlength=len(names))
+                    hit = names[den * both >= num * (len(x) + size - both)]
+                    hit = hit[hit != node]
+                    a += [node] * len(hit)
+                    b += hit.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        links = links.unionByName(sets.select("node", "body").mapInArrow(walk, "a long, b long"))
+    return work.table(links, "links-rest")
+
+
+def _further(lists: DataFrame, sets: DataFrame, labels: DataFrame, used: DataFrame | None, num: int, den: int, work: Workspace, turn: int, rows: int) -> tuple[DataFrame, DataFrame | None] | None:
+    """Candidates and pivots (key, node) of the lists whose members are still in several components; None
+    where there are none.
+
+    In the probing rounds the members outside a list's largest component meet a few of its members, which
+    settles near copies of them, and small lists have these members as pivots for everyone.  Then all that
+    is left meets everyone, at once or, if it is too much to carry, as pivots of each list in turns.
+    """
+    marked = work.table(lists.join(labels, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), f"marked-{turn}", rows=rows)
     parts = marked.groupBy("key", "root").agg(F.count("*").alias("members"))
-    main = parts.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = marked.join(main.select("key", "main"), "key").where("root <> main").select("key", "node", "n", "root")
+    main = parts.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("size"), F.max("members").alias("most")).where("parts > 1")
+    main = work.table(main.select("key", "main", "size", (F.col("size") - F.col("most")).alias("others")), f"main-{turn}", rows=rows)
+    if main.isEmpty():
+        return None
+    own = marked.join(main, "key")
+    rest = own.where("root <> main").select("key", "node", "n", "root", "size", "others")
     if used is not None:
         rest = rest.join(used, ["key", "node"], "left_anti")
-    pivots = rest.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("i") <= MORE_PIVOTS).select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-    pivots = work.table(pivots, f"pivots-{turn}")
-    met = marked.join(pivots, "key").where(f"root <> proot and {num} * greatest(n, pn) <= {den} * least(n, pn)").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    return met, pivots.select("key", F.col("p").alias("node"))
+    if turn > PROBING_ROUNDS and (done := _scanned(sets, rest, num, den, work)) is not None:
+        return done, None
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    close = f"root <> proot and {num} * greatest(n, pn) <= {den} * least(n, pn)"
+
+    def met(side: DataFrame, pivots: DataFrame) -> DataFrame:
+        return side.select("key", "node", "n", "root").join(pivots, "key").where(close).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+
+    named = [F.col("key"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot")]
+    all_at_once = F.col("size") * F.col("others") <= ROUND_PAIRS
+    chosen = rest.where(all_at_once) if turn <= PROBING_ROUNDS else rest.withColumn("i", rank).where(all_at_once | (F.col("i") <= MORE_PIVOTS))
+    pivots = work.table(chosen.select(*named), f"pivots-{turn}", rows=rows)
+    out = met(marked, pivots)
+    if turn <= PROBING_ROUNDS:
+        first, last = PROBES * (turn - 1) + 1, PROBES * turn
+        probed = own.where((F.col("root") == F.col("main")) & ~all_at_once).withColumn("i", rank).where(F.col("i") <= last + 1).where(F.col("i") > first)
+        out = out.unionByName(met(rest.where(~all_at_once), probed.select(*named))).distinct()
+    return out, pivots.select("key", F.col("p").alias("node"))
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, work: Workspace | None = None) -> DataFrame:
@@ -380,6 +456,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     num, den = percent, 100
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = work.table(nodes(docs, "id", "text", width), "nodes")
+    rows = found.count()
     top = F.least("n", F.lit(LARGEST_BOUNDARY + 1))
     sizes = {r[0]: r[1] for r in found.where("n > 0").groupBy(top.alias("n")).count().collect()}
     total = found.agg(F.sum("n")).first()[0] or 0
@@ -403,19 +480,28 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scan = work.table(_scan(lists, light, num, den), "scan")
     fresh = work.table(scan.where("kind = 0").select("a", "b").distinct(), "candidates-0")
     long_lists = scan.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").cast("int").alias("n"))
-    links, labels, used, turn = None, None, None, 0
-    while not fresh.isEmpty():
-        proven = work.table(_verified(docs, "text", fresh, num, den, width), f"links-{turn}")
+    listed = long_lists.count()
+    # whatever a later round compares stands in a long list, so the sets are gathered once
+    members = fresh.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long_lists.select("node"))
+    sets = work.table(_bodies(docs, "text", members, width), "sets")
+    labels, used, turn = None, None, 0
+    while not fresh.isEmpty() or (labels is not None and turn <= PROBING_ROUNDS):
+        proven = work.table(_verified(sets, fresh, num, den), f"links-{turn}")
         links = proven if labels is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proven)
         labels = components(links, work, f"cc{turn}")
         turn += 1
-        fresh, pivots = _further(long_lists, labels, used, num, den, work, turn)
-        fresh = work.table(fresh, f"candidates-{turn}")
-        used = pivots if used is None else used.unionByName(pivots)
+        further = _further(long_lists, sets, labels, used, num, den, work, turn, listed)
+        if further is None:
+            break
+        if further[1] is None:  # links of all that was left
+            labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further[0]), work, "cc-last")
+            break
+        fresh = work.table(further[0], f"candidates-{turn}", rows=listed)
+        used = further[1] if used is None else used.unionByName(further[1])
     if labels is None:
         labels = spark.createDataFrame([], "node long, root long")
-    named = work.table(found.join(labels, "node", "left").select("id", "n", "node", F.coalesce("root", "node").alias("root")), "named")
-    least_id = work.table(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), "least")
+    named = work.table(found.join(labels, "node", "left").select("id", "n", "node", F.coalesce("root", "node").alias("root")), "named", rows=rows)
+    least_id = work.table(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), "least", rows=rows)
     out = named.join(least_id, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "node")
 
