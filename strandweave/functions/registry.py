@@ -18,19 +18,19 @@ def _double(x: Column) -> Column:
     return x.try_cast("double")
 
 
-# fixed values: the factors of the built-in conversions
-BUILTINS: dict[str, tuple[str, str, Body]] = {
-    "fns:meterToFoot": ("xsd:decimal", "xsd:decimal", lambda x: _double(x) * 3.28084),
-    "fns:footToMeter": ("xsd:decimal", "xsd:decimal", lambda x: _double(x) * 0.3048),
-    "fns:kgToPound": ("xsd:decimal", "xsd:decimal", lambda x: _double(x) * 2.20462),
-    "fns:poundToKg": ("xsd:decimal", "xsd:decimal", lambda x: _double(x) / 2.20462),
-    "fns:celsiusToFahrenheit": ("xsd:decimal", "xsd:decimal", lambda x: _double(x) * 1.8 + 32),
-    "fns:kelvinToCelsius": ("xsd:decimal", "xsd:decimal", lambda x: _double(x) - 273.15),
-    "grel:math_round": ("xsd:decimal", "xsd:integer", lambda x: F.round(_double(x)).cast("bigint")),
-    "grel:math_floor": ("xsd:decimal", "xsd:integer", lambda x: F.floor(_double(x)).cast("bigint")),
-    "grel:math_ceil": ("xsd:decimal", "xsd:integer", lambda x: F.ceil(_double(x)).cast("bigint")),
-    "grel:string_toNumber": ("xsd:string", "xsd:decimal", _double),
-    "grel:string_toString": ("xsd:string", "xsd:string", lambda x: x.cast("string")),
+# fixed values: parameters, types and factors of the built-in conversions
+BUILTINS: dict[str, tuple[str, str, str, Body]] = {
+    "fns:meterToFoot": ("grel:valueParameter", "xsd:decimal", "xsd:decimal", lambda x: _double(x) * 3.28084),
+    "fns:footToMeter": ("grel:valueParameter", "xsd:decimal", "xsd:decimal", lambda x: _double(x) * 0.3048),
+    "fns:kgToPound": ("grel:valueParameter", "xsd:decimal", "xsd:decimal", lambda x: _double(x) * 2.20462),
+    "fns:poundToKg": ("grel:valueParameter", "xsd:decimal", "xsd:decimal", lambda x: _double(x) / 2.20462),
+    "fns:celsiusToFahrenheit": ("grel:valueParameter", "xsd:decimal", "xsd:decimal", lambda x: _double(x) * 1.8 + 32),
+    "fns:kelvinToCelsius": ("grel:valueParameter", "xsd:decimal", "xsd:decimal", lambda x: _double(x) - 273.15),
+    "grel:math_round": ("grel:p_dec_n", "xsd:decimal", "xsd:integer", lambda x: F.round(_double(x)).cast("bigint")),
+    "grel:math_floor": ("grel:p_dec_n", "xsd:decimal", "xsd:integer", lambda x: F.floor(_double(x)).cast("bigint")),
+    "grel:math_ceil": ("grel:p_dec_n", "xsd:decimal", "xsd:integer", lambda x: F.ceil(_double(x)).cast("bigint")),
+    "grel:string_toNumber": ("grel:p_any_e", "xsd:string", "xsd:double", _double),
+    "grel:string_toString": ("grel:p_any_e", "xsd:anySimpleType", "xsd:string", lambda x: x.cast("string")),
 }
 
 
@@ -55,8 +55,8 @@ class FunctionLibrary:
     @classmethod
     def builtins(cls) -> FunctionLibrary:
         out = cls()
-        for curie, (given, result, body) in BUILTINS.items():
-            out.functions[curie] = Declaration(curie, input_type=given, output_type=result, body=body)
+        for curie, (parameter, given, result, body) in BUILTINS.items():
+            out.functions[curie] = Declaration(curie, parameter, input_type=given, output_type=result, body=body)
         return out
 
     def declare(self, declaration: Declaration, override: bool = False) -> None:
