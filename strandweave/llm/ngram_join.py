@@ -52,6 +52,10 @@ BLOCK_ELEMENTS, MOST_BLOCKS = 1 << 21, 16
 #: Shingles whose document frequency is kept for the global order: at most this many, in memory of every
 #: worker (16 bytes each).  Beyond it the least frequent are ordered by hash like the rare ones.
 ORDERED = 1 << 20
+#: Shingles that a worker gathers before it packs them, and those of a range that one task adds up.
+GATHERED = 1 << 20
+#: Rows of a batch of whole sets on their way to a worker.
+SET_ROWS = 256
 #: A shingle in fewer documents counts as rare.
 RARE = 8
 #: Bits of the bounded bitmap that says which sets candidates need.
@@ -125,7 +129,7 @@ def frequencies(docs: DataFrame, text_col: str, ranges: int, width: int, rare: i
             for _, found in _sets(batch.column(0), width):
                 held += [s for s in found if len(s)]
                 size += sum(map(len, found))
-                if size >= 4 << 20:
+                if size >= GATHERED:
                     yield batch_of(pack(held))
                     held, size = [], 0
         if size:
@@ -402,7 +406,7 @@ def _scanned(sets: DataFrame, rest: DataFrame, num: int, den: int, work: Workspa
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         links = links.unionByName(sets.select("node", "body").mapInArrow(walk, "a long, b long"))
-    return work.table(links, "links-rest")
+    return work.table(links, "links-rest", batch=SET_ROWS)
 
 
 def _further(lists: DataFrame, sets: DataFrame, labels: DataFrame, used: DataFrame | None, num: int, den: int, work: Workspace, turn: int, rows: int) -> tuple[DataFrame, DataFrame | None] | None:
@@ -461,7 +465,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = {r[0]: r[1] for r in found.where("n > 0").groupBy(top.alias("n")).count().collect()}
     total = found.agg(F.sum("n")).first()[0] or 0
 
-    counted = work.table(frequencies(docs, "text", max(partitions_for(docs), total >> 22), width, RARE), "frequencies")
+    counted = work.table(frequencies(docs, "text", max(partitions_for(docs), total // GATHERED), width, RARE), "frequencies")
     levels = counted.where("kind = 0").groupBy(F.log2("b").cast("int").alias("level")).count().collect()
     least, kept = 63, 0
     for level, count in sorted(map(tuple, levels), reverse=True):
@@ -486,7 +490,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = work.table(_bodies(docs, "text", members, width), "sets")
     labels, used, turn = None, None, 0
     while not fresh.isEmpty() or (labels is not None and turn <= PROBING_ROUNDS):
-        proven = work.table(_verified(sets, fresh, num, den), f"links-{turn}")
+        proven = work.table(_verified(sets, fresh, num, den), f"links-{turn}", batch=SET_ROWS)
         links = proven if labels is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proven)
         labels = components(links, work, f"cc{turn}")
         turn += 1

@@ -21,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         found = LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Narrow rows of a file, and the fewest files, of tables whose size is known.
 FILE_ROWS, FEWEST_FILES = 250_000, 8
 
@@ -35,12 +36,18 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    def table(self, df: DataFrame, name: str, rows: int | None = None, batch: int | None = None) -> DataFrame:
         """Write and reread, which cuts lineage.  A table known to have at most ``rows`` narrow rows is
-        written in as few files as that takes."""
+        written in as few files as that takes; ``batch`` bounds the rows of the Arrow batches on the way."""
         if rows is not None:
             df = df.coalesce(max(FEWEST_FILES, -(-rows // FILE_ROWS)))
-        df.write.mode("overwrite").parquet(self.path(name))
+        was = self.spark.conf.get(ARROW_ROWS)
+        try:
+            if batch is not None:
+                self.spark.conf.set(ARROW_ROWS, str(batch))
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(ARROW_ROWS, was)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
