@@ -488,6 +488,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # whatever a later round compares stands in a long list, so the sets are gathered once
     members = fresh.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long_lists.select("node"))
     sets = work.table(_bodies(docs, "text", members, width), "sets")
+    work.release()
     labels, used, turn = None, None, 0
     while not fresh.isEmpty() or (labels is not None and turn <= PROBING_ROUNDS):
         proven = work.table(_verified(sets, fresh, num, den), f"links-{turn}", batch=SET_ROWS)
