@@ -7,7 +7,7 @@ a hierarchy, and the sales tables source data.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,7 @@ from .operators import hierarchy, ledger, lint, shacl, translate, vectors
 from .plans import mapping, materialize
 from .plans.mapping import ClassRule, MappingPlan, SlotRule
 from .sources import ingest, sssom
+from .sources.paths import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -568,9 +569,13 @@ def iri_templates(spark, d):
 
 @_register()
 def sssom_roundtrip(spark, d):
-    """The decided pairs written as a mapping file and read back; rows only."""
-    rows = ledger.dump(_log(spark, d)).limit(500)
-    path = f"{tempfile.mkdtemp()}/log.sssom.tsv"
-    sssom.append_to_file(rows, path, ["a mapping set"])
-    return sssom.read(spark, path)
-
+    """All decided pairs written as mapping files and read back, each compared with what was written."""
+    rows = ledger.dump(_log(spark, d))
+    path = f"{shared_dir(spark)}/strandweave-sssom-{uuid.uuid4().hex}/log.sssom.tsv"
+    sssom.write(rows, path, ["a mapping set"])
+    back = sssom.read(spark, path)
+    columns = vocab.MAPPING_COLUMNS
+    both = rows.select(*columns, F.lit(1).alias("n")).unionByName(back.select(*columns, F.lit(-1).alias("n")))
+    if not both.groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0").isEmpty():
+        raise ValueError(f"{path}: the rows read back are not those written")
+    return back

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import warnings
 from pathlib import Path
 
@@ -18,7 +19,8 @@ LEGACY = vocab.MAPPING_COLUMNS[:-1]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a file with ``log_seq``, their order in it; an absent file has none.
+    """The rows of a file, or of a folder of part files, with ``log_seq``, their order in it; an absent file
+    has none.
 
     Lines that start with # are comments.  The header must be the sixteen columns, or the fifteen without
     the last.  Rows without a subject, predicate, object or justification, or with an unreadable number, are
@@ -26,8 +28,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     empty confidence 0; dates without a zone are UTC.
     """
     path = located(path)
-    file = Path(path.removeprefix("file://"))
-    if "://" not in path.removeprefix("file://") and not file.exists():
+    file = re.sub("^file:/+", "/", path)
+    if "://" not in file and not Path(file).exists():
         return spark.createDataFrame([], vocab.LOG)
     lines = spark.read.text(path, lineSep="\n").where(~F.col("value").startswith("#"))
     head = next(iter(csv.reader([(lines.first() or [""])[0].rstrip("\r")], delimiter="\t")), [])
@@ -35,7 +37,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path}: the header must be {vocab.MAPPING_COLUMNS}")
     raw = T.StructType([*[T.StructField(c, T.StringType()) for c in head], T.StructField("__bad", T.StringType())])
     rows = spark.read.schema(raw).options(sep="\t", header=True, comment="#", quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad").csv(path)
-    rows = rows.drop("__bad").withColumn("log_seq", F.monotonically_increasing_id())
+    # part files are not read in the order of their numbers
+    part, row = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.monotonically_increasing_id()
+    rows = rows.select(*head, F.coalesce(F.shiftleft(part, 33) + row.bitwiseAND((1 << 33) - 1), row).alias("log_seq"))
     for c in vocab.MAPPING_COLUMNS:
         if c not in head:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
@@ -58,8 +62,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """Rows as text cells: nulls empty, dates in ISO form."""
-    date = F.date_format("mapping_date", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """Rows as text cells: nulls empty, dates in ISO form with what fractions of a second they have."""
+    whole = F.date_trunc("second", "mapping_date") == F.col("mapping_date")
+    date = F.when(whole, F.date_format("mapping_date", "yyyy-MM-dd'T'HH:mm:ssXXX")).otherwise(F.date_format("mapping_date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
     return rows.select(*[F.coalesce(date if c == "mapping_date" else F.col(c).cast("string"), F.lit("")).alias(c) for c in vocab.MAPPING_COLUMNS])
 
 
@@ -95,3 +100,12 @@ def append_to_file(rows: DataFrame, path: str | Path, comments: list[str] | None
             writer.writerow(vocab.MAPPING_COLUMNS)
         writer.writerows(added)
     return len(added)
+
+
+def write(rows: DataFrame, path: str, comments: list[str] | None = None) -> None:
+    """The rows as a folder of files, each with the header, written by the executors; ``read`` takes the folder."""
+    spark = rows.sparkSession
+    cells(rows).write.options(sep="\t", header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    if comments:
+        head = [*(f"# {line}" for line in comments), "\t".join(vocab.MAPPING_COLUMNS)]
+        spark.createDataFrame([(line,) for line in head], "value string").coalesce(1).write.mode("append").text(path)

@@ -5,9 +5,11 @@ import os
 import pytest
 
 from strandweave import queries
+from strandweave.operators import ledger
 
 from .oracle import SMALL, duck, same_rows
 
+MORE = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
 
 
@@ -34,3 +36,13 @@ def test_entry(spark):
 
     assert set(queries.QUERIES) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(MORE), reason="needs the driver's tables")
+def test_round_trip_keeps_every_decided_pair(spark):
+    wanted = ledger.dump(queries._log(spark, MORE)).drop("log_seq")
+    back = queries.sssom_roundtrip(spark, MORE)
+    assert wanted.count() == back.count() > 500
+    assert wanted.exceptAll(back.drop("log_seq")).isEmpty()
+    pairs = [(r.subject_id, r.object_id) for r in back.orderBy("log_seq").collect()]
+    assert pairs == sorted(pairs) and len(set(pairs)) == len(pairs)
