@@ -286,11 +286,19 @@ def blend_candidates(spark, d):
 _AS_LOG = f"dlog AS (SELECT 's:' || (user_id % 500) AS subject_id, 't:' || (event_id % 500) AS object_id, {_PREDICATE} AS predicate_id, {_JUSTIFIED} AS mapping_justification, ts AS mapping_date, event_id AS log_seq FROM events WHERE event_id % 11 = 0)"
 
 
-def _decision_log(spark: SparkSession, d: str) -> DataFrame:
-    e = _read(spark, d, "events").where("event_id % 11 = 0")
+_AS_WHOLE_LOG = _AS_LOG.replace(" WHERE event_id % 11 = 0", "")
+
+
+def _whole_decision_log(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "events")
     return e.select(F.expr("concat('s:', user_id % 500)").alias("subject_id"), F.expr("concat('t:', event_id % 500)").alias("object_id"), F.expr(_PREDICATE).alias("predicate_id"), F.expr(_JUSTIFIED).alias("mapping_justification"), F.col("ts").alias("mapping_date"), F.col("event_id").alias("log_seq"))
 
 
+def _decision_log(spark: SparkSession, d: str) -> DataFrame:
+    """Every eleventh row of the log, as the SQL of the two queries over it has it."""
+    return _whole_decision_log(spark, d).where("log_seq % 11 = 0")
+
+
 _ALL_CANDIDATES = "cand AS (SELECT 's:' || s.vec_id AS subject_id, 't:' || t.vec_id AS object_id FROM embeddings s, embeddings t WHERE s.vec_id % 10 = 0 AND t.vec_id % 10 <> 0)"
 
 
@@ -310,6 +318,18 @@ def refresh_from_log(spark, d):
     return ledger.refresh(_candidates(spark, d), _decision_log(spark, d), vocab.LEXICAL).select("subject_id", "object_id", "predicate_id", "mapping_justification")
 
 
+@_register(ORACLES["filter_decided"].replace(_AS_LOG, _AS_WHOLE_LOG))
+def filter_decided_whole(spark, d):
+    """``filter_decided`` by every row of the log."""
+    return ledger.filter_decided(_candidates(spark, d), _whole_decision_log(spark, d)).select("subject_id", "object_id")
+
+
+@_register(ORACLES["refresh_from_log"].replace(_AS_LOG, _AS_WHOLE_LOG))
+def refresh_from_log_whole(spark, d):
+    """``refresh_from_log`` by every row of the log."""
+    return ledger.refresh(_candidates(spark, d), _whole_decision_log(spark, d), vocab.LEXICAL).select("subject_id", "object_id", "predicate_id", "mapping_justification")
+
+
 # --- hierarchy --------------------------------------------------------------------------------------------
 
 _EDGES = "edges AS (SELECT 'r' || r_regionkey AS cls, 'world' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
