@@ -7,6 +7,8 @@ read it again as the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandweave.llm import mixing, ngram_join, pieces, pii, quality
 from strandweave.llm.queries import vocabulary
@@ -34,8 +36,13 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the piece ids of each document."""
-    return pieces.encode(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "source", "ids")
+    """doc_id, source and the piece ids of each document.
+
+    Copies of a document are numbered, in any order as they are alike, and cut independently.
+    """
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    docs = docs.withColumn("replica", F.row_number().over(copies))
+    return pieces.encode(docs, vocabulary("piece_bpe_32k.model"), replica_col="replica").select("doc_id", "source", "ids")
 
 
 STAGES = [

@@ -1,18 +1,20 @@
 """Piece encoding of texts with seeded merge-dropout, and lossless decoding.
 
 The vocabulary is a SentencePiece BPE model with byte fallback.  Merges leave an agenda best first; each
-candidate is skipped, whenever it comes up, when a keyed hash of (seed, variant, piece of text, place, length) falls below the
-dropout rate, so a seed fixes every segmentation and another seed or variant gives others.  A document's
-variant is a keyed hash of its id.  With rate 0 the ids are the library's own.
+candidate is skipped, whenever it comes up, when a keyed hash of (seed, document, replica, place in the text, place in the
+stretch, length) falls below the dropout rate, so a seed fixes every segmentation, and each occurrence of a
+word has draws of its own.  With rate 0 the ids are the library's own.
 
 A space is a piece boundary mark, so no merge reaches across the start of a run of spaces, nor between two
 characters that no piece of the vocabulary has next to each other; the stretches between are segmented
-once and remembered.  Anything the vocabulary lacks, the mark's own character included, is written in bytes,
+one by one.  The draws of all candidates that a stretch has are made for each occurrence; a segmentation is
+remembered by the stretch and the set of candidates skipped, which fix it.  Anything the vocabulary lacks, the mark's own character included, is written in bytes,
 so decoding gives back every text exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -27,10 +29,12 @@ from .bytetext import chunks, hash_spans, mix, ragged
 from .token_store import Memory
 
 RATE, SEED = 0.1, 17
-#: Segmentations that a word can have under one seed.
-VARIANTS = 4
 #: Characters of the longest stretches that are segmented many at a time.
 LONG = 32
+#: Draws that are made at a time.
+DRAWS = 1 << 20
+#: Stands for the candidates of a stretch that is longer than LONG.
+_MANY = (1 << 32) - 1
 _MARK = "▁"
 _NONE = np.iinfo(np.int32).max
 _PLACE, _SIZE, _SPREAD, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, (1 << 64) - 1
@@ -82,6 +86,8 @@ class Pieces:
                 joined[a, b] = True
         joined[128:, :128][:, 32] = joined[32, 32] = True
         self.joined = joined.ravel()
+        self.longest = max(map(len, self.rank), default=0)
+        self.candidates = Memory()
         self.memory: dict[tuple, Memory] = {}
 
     def segment(self, text: str, key: int, cutoff: int) -> list[int]:
@@ -177,8 +183,33 @@ class Pieces:
             out[r] = ids[:k]
         return out
 
-    def encode(self, body: np.ndarray, at: np.ndarray, variant: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of a chunk of documents."""
+    def places(self, text: str) -> list[int]:
+        """All candidates that a stretch can have, as place * LONG + length - 1; ``_MANY`` of a long one."""
+        n = len(text)
+        if n > LONG:
+            return [_MANY]
+        return [i * LONG + j - i - 1 for i in range(n) for j in range(i + 2, min(n, i + self.longest) + 1) if text[i:j] in self.rank]
+
+    def skipped(self, word: np.ndarray, key: np.ndarray, cutoff: int, texts) -> np.ndarray:
+        """A hash of the set of candidates that each stretch skips, 0 of none; the key of a long one."""
+        begin, size = self.candidates.lookup(word, lambda which: [self.places(x) for x in texts(which)])
+        out = np.zeros(len(word), np.uint64)
+        ends = np.cumsum(size, dtype=np.int64)
+        first = 0
+        while first < len(word):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + DRAWS, "right")))
+            own = size[first:last].astype(np.int64)
+            code = self.candidates.ids[ragged(begin[first:last], own)].astype(np.uint64)
+            row = np.repeat(np.arange(first, last), own)
+            x = key[row] ^ (code // np.uint64(LONG) * np.uint64(_PLACE) + (code % np.uint64(LONG) + np.uint64(1)) * np.uint64(_SIZE))
+            hit = (code == _MANY) | ((x ^ (x >> np.uint64(29))) * np.uint64(_SPREAD) >> np.uint64(32) < np.uint64(cutoff))
+            row, code = row[hit], code[hit]
+            np.add.at(out, row, np.where(code == _MANY, key[row], mix(code + np.uint64(1))))
+            first = last
+        return out
+
+    def encode(self, body: np.ndarray, at: np.ndarray, document: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of a chunk of documents, whose draws are keyed by ``document``."""
         rows = len(at) - 1
         filled = np.flatnonzero(np.diff(at))
         body = np.insert(body, at[filled], 32)
@@ -191,13 +222,17 @@ class Pieces:
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(body))
         first = np.searchsorted(start, at)
-        salt = np.repeat(mix(variant.astype(np.uint64) + np.uint64(seed & 0xFFFFFFFF)), np.diff(first))
-        h = mix(hash_spans(body, start, end, 3) ^ salt)
+        per = np.diff(first)
+        h = hash_spans(body, start, end, 3)
         cutoff = int(rate * (1 << 32))
         raw = body.tobytes()
+        key = h
+        if cutoff:
+            key = mix(np.repeat(document, per) + (start - np.repeat(at[:-1], per)).astype(np.uint64) * np.uint64(_PLACE))
+            h = mix(h ^ self.skipped(h, key, cutoff, lambda which: [raw[a:b].decode() for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]))
 
         def missing(which):
-            a, size, keys = start[which], end[which] - start[which], h[which]
+            a, size, keys = start[which], end[which] - start[which], key[which]
             own = body[ragged(a, size)]
             points = np.frombuffer(own.tobytes().decode().encode("utf-32-le"), "<u4")
             heads = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
@@ -241,32 +276,35 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def _variants(column: pa.Array, seed: int) -> np.ndarray:
-    return np.array([zlib.crc32(f"{seed}:{x}".encode()) % VARIANTS for x in column.to_pylist()], np.int64)
+def _keys(names: pa.Array, replicas: pa.Array | None, seed: int) -> np.ndarray:
+    """64-bit keys of documents and their replicas."""
+    told = names.to_pylist() if replicas is None else zip(names.to_pylist(), replicas.to_pylist(), strict=True)
+    return np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{x}".encode(), digest_size=8).digest(), "little") for x in told], np.uint64)
 
 
-def _encoded(names: pa.Array, texts: pa.Array, model: Pieces, rate: float, seed: int) -> Iterator[tuple]:
-    variant = _variants(names, seed)
+def _encoded(names: pa.Array, texts: pa.Array, model: Pieces, rate: float, seed: int, replicas: pa.Array | None = None) -> Iterator[tuple]:
+    document = _keys(names, replicas, seed)
     for first, end, body, at in chunks(texts):
-        ids, offsets = model.encode(body, at, variant[first:end], rate, seed)
+        ids, offsets = model.encode(body, at, document[first:end], rate, seed)
         yield first, end, body, at, ids, offsets
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED, out_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED, out_col: str = "ids", replica_col: str | None = None) -> DataFrame:
     """The documents with their piece ids, array<int>, in ``out_col`` (which replaces one of that name).
 
-    Null and empty texts get an empty array.  A null id is a variant of its own.  Repeated rows get equal
-    ids.  All other columns stay.
+    Null and empty texts get an empty array.  A null id is a document of its own.  Rows that repeat an id are
+    cut alike, unless ``replica_col`` tells them apart.  All other columns stay.
     """
     kept = [c for c in docs.columns if c != out_col]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     i, t = kept.index(id_col), kept.index(text_col)
+    r = None if replica_col is None else kept.index(replica_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         model = pieces(model_path)
         for batch in batches:
-            for first, end, _, _, ids, at in _encoded(batch.column(i), batch.column(t), model, rate, seed):
+            for first, end, _, _, ids, at in _encoded(batch.column(i), batch.column(t), model, rate, seed, None if r is None else batch.column(r)):
                 arrays = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns), arrays], [*kept, out_col])
 

@@ -252,6 +252,46 @@ def test_piece_tables(spark):
     assert pieces.encode(rows.limit(0), path).count() == 0
 
 
+def test_every_occurrence_is_drawn_for_itself(spark):
+    import pyarrow as pa
+
+    model = pieces.pieces(vocabulary("piece_bpe_32k.model"))
+    word, n, rate = " international", 3000, 0.1
+    texts = [(word * n)[1:], "x " + (word * 5)[1:], "", "z" * 40 + word * 3]
+    keys = pieces._keys(pa.array(range(4)), None, 1)
+    ((_, _, body, at, ids, offsets),) = pieces._encoded(pa.array(range(4)), pa.array(texts), model, rate, 1)
+    parts = []
+    for k, text in enumerate(texts):
+        whole = (" " + text).encode() if text else b""
+        want = []
+        for m in re.finditer(rb" ?[^ ]+", whole):
+            with np.errstate(over="ignore"):
+                key = int(pieces.mix(keys[k : k + 1] + np.uint64(m.start()) * np.uint64(pieces._PLACE))[0])
+            parts.append(tuple(model.segment(m[0].decode(), key, int(rate * 2**32))))
+            want += parts[-1]
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == want
+    plain = tuple(model.segment(word, 0, 0))
+    assert len(set(parts[:n])) > 8
+    once = sum(p != plain for p in parts[:n]) / n
+    rng = np.random.default_rng(0)
+    drawn = sum(tuple(model.segment(word, int(k), int(rate * 2**32))) != plain for k in rng.integers(0, 2**63, n)) / n
+    assert abs(once - drawn) < 0.05 and once > 0.2
+    many = ["a misunderstanding of international importance"] * 200
+    cut = {tuple(ids[a:b]) for ids, at in [x[4:] for x in pieces._encoded(pa.array(range(200)), pa.array(many), model, rate, 1)] for a, b in zip(at[:-1], at[1:], strict=True)}
+    assert len(cut) > 40
+
+
+def test_replicas_are_cut_independently(spark):
+    rows = docs(spark, ["a misunderstanding of international importance " * 20] * 3, [1, 1, 1]).withColumn("replica", F.monotonically_increasing_id())
+    path = vocabulary("piece_bpe_32k.model")
+    assert len({tuple(r.ids) for r in pieces.encode(rows, path, replica_col="replica").collect()}) == 3
+    assert len({tuple(r.ids) for r in pieces.encode(rows, path).collect()}) == 1
+    import corpus_pipeline
+
+    runs = [sorted(tuple(r.ids) for r in corpus_pipeline.encoded(spark, rows.drop("replica").repartition(n), "").collect()) for n in (1, 3)]
+    assert runs[0] == runs[1] and len(set(runs[0])) == 3
+
+
 def test_elias_fano():
     for values in ([], [5], [0, 0, 0], [-7, -7, 3, 10**12], sorted(np.random.default_rng(0).integers(0, 10**6, 3000).tolist()), list(range(1000))):
         coded = EliasFano.from_bytes(EliasFano.of(np.array(values, np.int64)).to_bytes())
