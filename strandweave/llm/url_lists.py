@@ -17,8 +17,6 @@ from pyspark.sql.window import Window
 
 #: Intervals that are broadcast at most (some hundred bytes each).
 BROADCAST_ROWS = 50_000
-#: Path segments that a pattern may name.
-SEGMENTS = 2
 
 # fixed values: the list that the registered query applies to `pages`
 ENTRIES = [
@@ -57,13 +55,19 @@ def host(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
 
 
-def patterns(url: Column, name: Column) -> Column:
-    """All patterns that could cover a URL: its host, the wider domains, and host with path segments."""
+def depth(held: DataFrame) -> int:
+    """The path segments of the deepest pattern."""
+    return held.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+
+
+def patterns(url: Column, name: Column, segments: int) -> Column:
+    """All patterns of at most ``segments`` path segments that could cover a URL: its host, the wider domains,
+    and host with path segments."""
     labels = F.split(name, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    paths = F.transform(F.filter(F.sequence(F.lit(1), F.lit(SEGMENTS)), lambda i: i <= F.size(parts)), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    paths = F.transform(F.slice(F.sequence(F.lit(1), F.lit(max(segments, 1))), 1, F.least(F.size(parts), F.lit(segments))), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
     return F.array_distinct(F.concat(domains, paths))
 
 
@@ -78,7 +82,7 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     held = intervals(entries).where("action <> 'remove'")
     few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"), host(F.coalesce(F.col(url_col), F.lit(""))).alias("host"))
-    keys = rows.select("*", F.posexplode(patterns(F.coalesce("url", F.lit("")), F.col("host"))).alias("n", "pattern"))
+    keys = rows.select("*", F.posexplode(patterns(F.coalesce("url", F.lit("")), F.col("host"), depth(held))).alias("n", "pattern"))
     met = keys.join(F.broadcast(held) if few else held, "pattern", "left")
     active = F.col("valid_from").isNotNull() & (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     verdict = F.max(F.when(active, F.struct(F.length("pattern").alias("size"), "pattern", "action", "category", "valid_from"))).alias("v")

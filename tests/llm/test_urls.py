@@ -29,6 +29,15 @@ def test_cases_by_broadcast_and_by_shuffle(spark, monkeypatch):
         assert got == {i: want for i, (_, _, want) in enumerate(CASES)}
 
 
+def test_patterns_of_any_depth(spark):
+    day = D(2021, 1, 1)
+    entries = [(day, "deep.org", "block", "h"), (day, "deep.org/a/b/c", "allow", "p"), (day, "deep.org/a/b/c/d/e/f", "block", "q"), (day, "page.net/1/2/3", "block", "r")]
+    cases = [("http://deep.org/a/b", day, 1), ("http://deep.org/a/b/c", day, 0), ("http://deep.org/A/b/c/d/e?x", day, 0), ("http://deep.org/a/b/c/d/e/f/g/h", day, 1), ("http://deep.org/a/b/cc", day, 1), ("http://page.net/1/2/3/4", day, 1), ("http://page.net/1/2", day, 0), ("http://page.net", day, 0)]
+    for few in (entries, entries[:1]):
+        got = {r.page_id: r.blocked for r in _run(spark, cases, few).collect()}
+        assert got == ({i: want for i, (_, _, want) in enumerate(cases)} if len(few) > 1 else {i: int("deep" in u) for i, (u, _, _) in enumerate(cases)})
+
+
 def test_repeated_rows_and_empty_tables(spark):
     captures = spark.createDataFrame([(1, "http://bad.org", D(2022, 5, 1))] * 3 + [(None, None, None)] * 2, "page_id long, url string, fetched date")
     entries = spark.createDataFrame(ENTRIES, "dated date, pattern string, action string, category string")
