@@ -53,7 +53,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has somewhere; a text without it is not searched further.
-HINT = rf"[0-9@]|(?:password|passwd|pwd|secret|token|key)\s{{0,3}}[=:]|(?i:secret|token|password)\s{{0,3}}[=:]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key)\s{{0,3}}[=:]|AKIA|ghp_|sk-|(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def entities(text: Column) -> Column:

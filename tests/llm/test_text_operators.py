@@ -366,6 +366,17 @@ def test_surrogates(spark):
     assert other != new[0]
 
 
+def test_secrets_without_digits(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    keys = [w.replace("_", sep) for w in ("password", "passwd", "pwd", "secret", "token", "api_key", "access_key") for sep in ("_", "-", "")]
+    secrets = [f"{case(w)}{sign}{letters[:12]}" for w in keys for case in (str.lower, str.upper, str.title) for sign in ("=", " : ")]
+    secrets += ["AKIA" + UPPER[:16], "ghp_" + (letters + UPPER)[:36], "sk-" + letters[:20]]
+    rows = docs(spark, [f"so {x} it is" for x in secrets])
+    got = pii.replace_entities(rows, count_col="k").orderBy("doc_id").collect()
+    assert [r.k for r in got] == [1] * len(secrets)
+    assert not any(r.text == f"so {x} it is" for r, x in zip(got, secrets, strict=True))
+
+
 def test_surrogates_stay_distinct(spark):
     names = [f"Mr {a}{b}" for a in UPPER for b in "abcdefghijklmnopqrstuvwxyzéèüö"]
     ips = [f"{i}.{j}.7.9" for i in range(1, 40) for j in range(0, 250, 10)]
