@@ -19,14 +19,16 @@ from .storage import Workspace
 #: Weights of the queries of one pass (sixteen bytes each on every worker), and the dense array's sides.
 PASS_WEIGHTS = 1 << 21
 QUERY_BLOCK, CANDIDATE_BLOCK = 256, 4096
-#: Weights beyond this take no part: 2**8 terms of it stay exact in 64 bits.
-LARGEST = 1 << 27
+#: Weights from this on do not fit 64 bits and take no part.
+LARGEST = 1 << 62
+#: Pairs whose norms have a smaller product are added up in 64 bits, the others as Python's integers.
+EXACT = float(1 << 62)
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
     """Sparse rows (id, terms, weights) of vectors: term i has weight floor(scale * x_i), zeros left out.
 
-    Vectors that are null, or hold null, non-finite or (beyond ``LARGEST``) inexact parts, are left out.
+    Vectors that are null, or hold null or non-finite parts or weights beyond ``LARGEST``, are left out.
     """
     v = F.col(vector_col)
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale))
@@ -63,8 +65,27 @@ def accumulate(queries: dict, postings: dict, n_queries: int, n_rows: int) -> np
     return scores
 
 
+def norms(row: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
+    return np.sqrt(np.bincount(row, weight.astype(float) ** 2, n_rows))
+
+
+def exact(queries: dict, postings: dict, i: int, j: int) -> int:
+    """The score of one query and one row, however large."""
+    total = 0
+    for term, (q, weight) in queries.items():
+        if term in postings:
+            row, posted = postings[term]
+            a, b = int(np.searchsorted(q, i)), int(np.searchsorted(row, j))
+            if a < len(q) and q[a] == i and b < len(row) and row[b] == j:
+                total += int(weight[a]) * int(posted[b])
+    return total
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of a list of scores, ties to smaller ids: partition selection, then a sort of what is left."""
+    if scores.dtype == object:
+        order = sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k]
+        return scores[order], ids[order]
     if len(scores) > k:
         last = np.partition(scores, len(scores) - k)[len(scores) - k]
         use = np.flatnonzero(scores >= last)
@@ -79,7 +100,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, work: Workspac
     Both sides are sparse rows (id, terms, weights).  Ties go to the smaller id; a candidate with the query's
     id is no candidate; all candidates are listed where there are fewer than k.  Null ids take no part.  A
     repeated query id is asked once, with its least row; repeated candidate rows are listed as often as they
-    stand.  No queries or no candidates give no rows.
+    stand.  No queries or no candidates give no rows.  A listed score that does not fit 64 bits is an error.
     """
     spark = candidates.sparkSession
     work = work or Workspace(spark, "topk")
@@ -96,7 +117,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, work: Workspac
         parts = []
         for a in range(0, len(names), QUERY_BLOCK):
             own = (row >= a) & (row < a + QUERY_BLOCK)
-            parts.append((names[a : a + QUERY_BLOCK], _by_term(row[own] - a, term[own], weight[own])))
+            parts.append((names[a : a + QUERY_BLOCK], _by_term(row[own] - a, term[own], weight[own]), norms(row[own] - a, weight[own], len(names[a : a + QUERY_BLOCK]))))
         carried = spark.sparkContext.broadcast(parts)
 
         def run(batches, carried=carried):
@@ -106,23 +127,31 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, work: Workspac
                 for first in range(0, len(batch), CANDIDATE_BLOCK):
                     ids, row, term, weight = _sparse(batch.slice(first, CANDIDATE_BLOCK))
                     postings = _by_term(row, term, weight)
-                    for names, asked in parts:
+                    long = norms(row, weight, len(ids))
+                    for names, asked, length in parts:
                         scores = accumulate(asked, postings, len(names), len(ids))
                         for i, name in enumerate(names.tolist()):
                             own, other = scores[i], ids
+                            if length[i] * long.max(initial=0) >= EXACT:
+                                own = own.astype(object)
+                                for j in np.flatnonzero(length[i] * long >= EXACT).tolist():
+                                    own[j] = exact(asked, postings, i, j)
                             if (ids == name).any():
                                 own, other = own[ids != name], ids[ids != name]
                             if name in held:
                                 own, other = np.concatenate([own, held[name][0]]), np.concatenate([other, held[name][1]])
                             held[name] = best(own, other, k)
             sizes = [len(s) for s, _ in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(held), np.int64), sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *(x for _, x in held.values())])), pa.array(np.concatenate([np.zeros(0, np.int64), *(s for s, _ in held.values())]))], ["query_id", "id", "score"])
+            scores = pa.array([int(x) for s, _ in held.values() for x in s], pa.decimal128(38, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(held), np.int64), sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *(x for _, x in held.values())])), scores], ["query_id", "id", "score"])
 
-        found = candidates.mapInArrow(run, "query_id long, id long, score long")
+        found = candidates.mapInArrow(run, "query_id long, id long, score decimal(38,0)")
         found.write.mode("append").parquet(work.path("partial"))
-    partial = spark.read.schema("query_id long, id long, score long").parquet(work.path("partial"))
+    partial = spark.read.schema("query_id long, id long, score decimal(38,0)").parquet(work.path("partial"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    fits = F.col("score").between(-(1 << 63), (1 << 63) - 1)
+    score = F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score does not fit 64 bits")).cast("long"))
+    return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", score.alias("score"))
 
 
 def vector_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100) -> DataFrame:

@@ -78,6 +78,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_top_k_of_large_parts(spark):
+    rng = np.random.default_rng(8)
+    rows = [np.round(rng.normal(size=4), 2) for _ in range(120)]
+    rows[0], rows[7], rows[100] = [2e5, 0.1, 0, 0], [2e5, 0.1, 1, 0], [-3e5, 1, 0, 2e12]
+    rows[9], rows[11] = [1e3, 0, 0, -4e12], [0, 0, 0, 1e6]  # its score with 100 is far below 64 bits
+    got = [tuple(r) for r in topk.vector_top_k(table(spark, enumerate(rows))).where("query_id = 0").orderBy("rank").select("vec_id", "score").collect()]
+    whole = [[int(x) for x in v] for v in np.floor(1024 * np.array(rows, np.float32).astype(float))]
+
+    def wanted(q):
+        return sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in range(120) if c != q)[:10]
+
+    assert got == [(c, -s) for s, c in wanted(0)] and got[0][0] == 7
+    with pytest.raises(Exception, match="64 bits"):
+        topk.vector_top_k(table(spark, enumerate(rows))).collect()
+
+
 def test_top_k_edges(spark):
     assert topk.vector_top_k(table(spark, [])).count() == 0
     few = topk.vector_top_k(table(spark, [(0, [1, 1]), (3, [2, 0]), (5, [0, 0]), (None, [1, 1]), (7, [1, 2, 3])])).orderBy("rank").collect()
