@@ -35,8 +35,7 @@ def components(links: DataFrame, work: Workspace, tag: str = "cc") -> DataFrame:
         low = _stars(large, work, f"{tag}-s{turn}", rows)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
         edges = work.table(small, f"{tag}-{turn}", rows)
-        for old in (f"{tag}-{turn - 1}", f"{tag}-l{turn}", f"{tag}-a{turn}", f"{tag}-s{turn}"):
-            work.drop(old)
+        work.drop(f"{tag}-{turn - 1}", f"{tag}-l{turn}", f"{tag}-a{turn}", f"{tag}-s{turn}")
         several = edges.groupBy("u").count().where("count > 1").select("u").limit(1)
         chained = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").limit(1)
         if several.unionByName(chained).isEmpty():  # every node points at one root, and no root points on

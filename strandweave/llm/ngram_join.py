@@ -15,12 +15,18 @@ share at least ``ceil(0.8 n)`` elements, so the first ``n - ceil(0.8 n) + c`` el
 The boundary is the size at which the estimated rows (subsets against postings and the partners met in
 their lists) are fewest.  Any order and any boundary give the same links; they only change the cost.
 
+A posting knows its place in the order, and so the most that two sets can share if they meet there first;
+pairs that would need more are no candidates.  A list of a very frequent key is dealt out in parts.
+
 No list is expanded into all its pairs.  Within a long list, each size band offers a pivot and the other
-members meet only these; after links have been contracted, lists whose members are still in several
-components go on: first the members outside the largest component meet a few of its members, and then what
-is left of them meets everyone, so that each list is in one component or every member outside its largest
-has met all others.  Each candidate is verified
-on the whole sets.
+members meet only these.  After links have been contracted, lists whose members are still in several
+components go on: the members outside the largest component meet a few of its members, and then what is left
+of them meets everyone in blocks, so that at the end each list is in one component or every member outside
+its largest has met all others.  That holds at every size; there is no other path for large inputs.
+
+Each candidate is screened by parity bitmaps: a bitmap with a bit for each residue that an odd number of
+elements has differs from another in no more places than the sets differ in elements, so what it screens out
+can never link.  What passes is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -29,37 +35,39 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .bytetext import chunks, mix, ragged, shingle_sets
+from .bytetext import chunks, mix, shingle_sets
 from .components import components
 from .storage import Workspace, partitions_for
 
 #: Lists up to this long meet in all their (at most 120) pairs at once.
 SHORT_LIST = 16
-#: Pivots of a size band in a longer list at first, members of a list's largest component that the others
-#: meet in each of the probing rounds, and pivots of a list in each later round.
-FIRST_PIVOTS, PROBES, PROBING_ROUNDS, MORE_PIVOTS = 1, 3, 2, 32
-#: A list has all its other members as pivots at once where these meet at most so many members.
-ROUND_PAIRS = 2_000
-#: Elements of the sets that are carried to the workers at once when what is left meets everyone (eight bytes
-#: each), and most such blocks; beyond that the lists go on round by round.
-BLOCK_ELEMENTS, MOST_BLOCKS = 1 << 21, 16
+#: Pivots of a size band in a longer list, and members of a list's largest component that the others probe.
+FIRST_PIVOTS, PROBES = 1, 3
+#: Documents of a part of a list whose key is frequent.
+PART = 1 << 16
+#: Rows of a block of what is left, and of a block of those that it meets.
+LEFT_BLOCK, MET_BLOCK = 1024, 8192
+#: Words (of 64 bits) of two bitmaps' differences that are held at once.
+DIFFERENCES = 1 << 20
 #: Shingles whose document frequency is kept for the global order: at most this many, in memory of every
 #: worker (16 bytes each).  Beyond it the least frequent are ordered by hash like the rare ones.
 ORDERED = 1 << 20
 #: Shingles that a worker gathers before it packs them, and those of a range that one task adds up.
 GATHERED = 1 << 20
-#: Rows of a batch of whole sets on their way to a worker.
-SET_ROWS = 256
+#: Rows of a batch of whole sets, and of one of bitmaps, on their way to a worker.
+SET_ROWS, SCREEN_ROWS = 256, 2048
 #: A shingle in fewer documents counts as rare.
 RARE = 8
-#: Bits of the bounded bitmap that says which sets candidates need.
-BITS = 1 << 24
+#: Bits, for each set that candidates need, of the bitmap that says which these are, and most bits of it.  A
+#: fuller bitmap sends more sets than needed and loses none.
+BITS_EACH, MOST_BITS = 16, 1 << 30
 #: Sizes tried as the boundary between light and heavy sets.
 LARGEST_BOUNDARY = 256
 
@@ -76,19 +84,34 @@ def _node(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, in a power of two of 64-bit words, with at least two bits an element.  The
+    bitmap of fewer words is the exclusive or of this one's equal parts."""
+    bits = max(128, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def most_apart(total, num: int, den: int):
+    """How many elements at most are in one only of two linked sets, whose sizes add up to ``total``."""
+    return total - 2 * -(-num * total // (num + den))
+
+
 def nodes(docs: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFrame:
-    """(id, n, node) per document: the size of its set and the set's 64-bit name, null for the empty set."""
+    """(id, n, node, bitmap) per document: the size of its set, the set's 64-bit name, null for the empty set,
+    and its parity bitmap."""
     kind = docs.schema[id_col].dataType
 
     def run(batches):
         for batch in batches:
-            n, node = [], []
+            n, node, maps = [], [], []
             for _, found in _sets(batch.column(1), width):
                 n += [len(s) for s in found]
                 node += [_node(s) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["id", "n", "node"])
+                maps += [parity(s).tobytes() if len(s) else None for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(maps, pa.binary())], ["id", "n", "node", "bitmap"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, n long, node long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, n long, node long, bitmap binary")
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -173,14 +196,15 @@ def boundary(sizes: dict[int, int], partners: float, num: int, den: int) -> int:
 
 
 def _prefixes(docs: DataFrame, text_col: str, order, light: int, num: int, den: int, width: int) -> DataFrame:
-    """(key, band, node, n): keys of two-element subsets (even) and of single elements (odd)."""
+    """(key, part, band, node, n, place): keys of two-element subsets (even) and of single elements (odd), and
+    the place of their last element in the set's order.  ``part`` is -1 but for frequent keys."""
 
     def run(batches):
         ids, freq = order.value
         bands = _RATIO ** np.arange(1, 200)
         seen: set[int] = set()
         for batch in batches:
-            keys, owners, sizes, counts = [], [], [], []
+            keys, places, often, owners, sizes, counts = [], [], [], [], [], []
             for _, found in _sets(batch.column(0), width):
                 found = [s for s in found if den * len(s) >= num * (len(s) + 1)]  # others link to equal sets only
                 if not found:
@@ -199,16 +223,21 @@ def _prefixes(docs: DataFrame, text_col: str, order, light: int, num: int, den:
                         continue
                     seen.add(node)
                     want = n - -(-num * n // den) + 2
-                    first = s[own == 0][:want]
-                    if len(first) < want:
-                        hot = own > 0
-                        first = np.concatenate([first, s[hot][np.lexsort((s[hot], own[hot]))][: want - len(first)]])
+                    in_order = np.flatnonzero(own == 0)[:want]
+                    if len(in_order) < want:
+                        hot = np.flatnonzero(own)
+                        in_order = np.concatenate([in_order, hot[np.lexsort((s[hot], own[hot]))][: want - len(in_order)]])
+                    first, own = s[in_order], own[in_order]
                     out = []
                     if n <= light:
                         i, j = np.array(list(combinations(range(len(first)), 2)), np.int64).reshape(-1, 2).T
                         out.append(mix(np.minimum(first[i], first[j]) * np.uint64(3) + mix(np.maximum(first[i], first[j]))) & _LOW)
+                        places.append(j)
+                        often.append(own[i])  # the rarer of the two
                     if n > light or den * n >= num * (light + 1):
                         out.append(first[: want - 1] | np.uint64(1))
+                        places.append(np.arange(len(out[-1])))
+                        often.append(own[: want - 1])
                     keys += out
                     owners.append(node)
                     sizes.append(n)
@@ -216,41 +245,43 @@ def _prefixes(docs: DataFrame, text_col: str, order, light: int, num: int, den:
             if len(seen) > 1 << 20:
                 seen.clear()
             if keys:
-                n = np.repeat(np.array(sizes, np.int32), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.searchsorted(bands, n, "right").astype(np.int32)), pa.array(np.repeat(np.array(owners, np.int64), counts)), pa.array(n)], ["key", "band", "node", "n"])
+                n, node = np.repeat(np.array(sizes, np.int32), counts), np.repeat(np.array(owners, np.int64), counts)
+                parts = np.concatenate(often) // per_part + 1
+                part = np.where(parts > 1, (mix(node.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(part.astype(np.int32)), pa.array(np.searchsorted(bands, n, "right").astype(np.int32)), pa.array(node), pa.array(n), pa.array(np.concatenate(places).astype(np.int32))], ["key", "part", "band", "node", "n", "place"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, band int, node long, n int")
+    per_part = PART
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, part int, band int, node long, n int, place int")
 
 
 def _scan(lists: DataFrame, light: int, num: int, den: int) -> DataFrame:
     """Candidates (kind 0, a, b) and the rows of longer lists (kind 1, key, node, n), from lists sorted by
-    (key, band, node).  What is kept of a list between batches is its tail or, beyond a million rows, its
-    pivots, so a list of any length streams through."""
+    (key, part, band, node).  What is kept of a list between batches is its tail or, beyond a million rows,
+    its pivots, so a list of any length streams through.  All lists in parts count as longer ones."""
 
-    def close(na, nb):
-        return num * np.maximum(na, nb) <= den * np.minimum(na, nb)
+    def scanned(key, na, pa_, nb, pb):
+        single = key & 1 == 1
+        shared = np.where(single, 1, 2) + np.minimum(na - 1 - pa_, nb - 1 - pb)
+        return (num * np.maximum(na, nb) <= den * np.minimum(na, nb)) & (~single | (np.maximum(na, nb) > light)) & ((num + den) * shared >= num * (na + nb))
 
-    def scanned(key, na, nb):
-        return close(na, nb) & ((key & 1 == 0) | (np.maximum(na, nb) > light))
-
-    def short(key, node, n):
+    def short(key, node, n, place):
         a, b = [], []
         for d in range(1, min(SHORT_LIST, len(key))):
-            ok = (key[d:] == key[:-d]) & scanned(key[d:], n[d:], n[:-d])
+            ok = (key[d:] == key[:-d]) & scanned(key[d:], n[d:], place[d:], n[:-d], place[:-d])
             a.append(node[:-d][ok])
             b.append(node[d:][ok])
         return a, b
 
-    def long(key, band, node, n, pivots):
+    def long(key, band, node, n, place, pivots):
         a, b = [], []
         for level in np.unique(band):
             own = np.flatnonzero(band == level)
             known = pivots.setdefault(int(level), [])
             for i in own[: max(0, FIRST_PIVOTS - len(known))]:
-                known.append((node[i], n[i]))
+                known.append((node[i], n[i], place[i]))
             for below in (level - 1, level):
-                for p, size in pivots.get(int(below), []):
-                    ok = own[scanned(np.int64(key), n[own], size) & (node[own] != p)]
+                for p, size, at in pivots.get(int(below), []):
+                    ok = own[scanned(np.int64(key), n[own], place[own], size, at) & (node[own] != p)]
                     a.append(np.full(len(ok), p))
                     b.append(node[ok])
         return a, b
@@ -268,33 +299,34 @@ def _scan(lists: DataFrame, light: int, num: int, den: int) -> DataFrame:
 
         def work(cols, final):
             nonlocal tail, open_key, pivots
-            key, band, node, n = cols
+            key, part, band, node, n, place = cols
             if not len(key):
                 return
             fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (band[1:] != band[:-1])
-            key, band, node, n = (c[fresh] for c in (key, band, node, n))
-            firsts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            fresh[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1]) | (band[1:] != band[:-1])
+            key, part, band, node, n, place = cols = tuple(c[fresh] for c in cols)
+            firsts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
             ends = np.append(firsts[1:], len(key))
             end = len(key)
             if not final and len(key) - firsts[-1] < 1 << 20:
                 end = int(firsts[-1])
-                tail = tuple(c[end:] for c in (key, band, node, n))
+                tail = tuple(c[end:] for c in cols)
             lens = ends - firsts
-            lasting = open_key is not None and key[0] == open_key
-            some = np.repeat((lens > 1) & (lens <= SHORT_LIST), lens)[:end] if end else np.zeros(0, bool)
+            lasting = open_key is not None and (key[0], part[0]) == open_key
+            few = (lens <= SHORT_LIST) & (part[firsts] < 0)
             if lasting:
-                some[: lens[0]] = False
-            a, b = short(key[:end][some], node[:end][some], n[:end][some])
+                few[0] = False
+            some = np.repeat(few & (lens > 1), lens)[:end] if end else np.zeros(0, bool)
+            a, b = short(key[:end][some], node[:end][some], n[:end][some], place[:end][some])
             over = []
-            for g in np.flatnonzero((lens > SHORT_LIST) | (lasting & (np.arange(len(lens)) == 0))):
+            for g in np.flatnonzero(~few):
                 i, j = int(firsts[g]), int(ends[g])
                 if i >= end:
                     continue
-                if key[i] != open_key:
+                if (key[i], part[i]) != open_key:
                     pivots = {}
-                x, y = long(key[i], band[i:j], node[i:j], n[i:j], pivots)
-                a, b, open_key = a + x, b + y, key[i]
+                x, y = long(key[i], band[i:j], node[i:j], n[i:j], place[i:j], pivots)
+                a, b, open_key = a + x, b + y, (key[i], part[i])
                 over.append((i, j))
             yield pairs(a, b)
             for i, j in over:
@@ -313,8 +345,47 @@ def _scan(lists: DataFrame, light: int, num: int, den: int) -> DataFrame:
     return lists.mapInArrow(run, "kind int, a long, b long, c long")
 
 
+def _by_words(column: pa.Array) -> dict[int, np.ndarray]:
+    """The rows of a column of bitmaps by their number of words."""
+    words = pc.divide(pc.binary_length(column), 8).to_numpy(zero_copy_only=False)
+    return {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
+
+
+def _bitmaps(column: pa.Array, rows: np.ndarray, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.take(pa.array(rows)).to_pylist()), np.uint64).reshape(-1, words)
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps brought to fewer words."""
+    return x if x.shape[1] == words else np.bitwise_xor.reduce(x.reshape(len(x), -1, words), 1)
+
+
+def _screened(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps allow to link; ``maps`` has (node, n, bitmap) of all nodes in them."""
+
+    def screen(batches):
+        for batch in batches:
+            na, x, nb, y = batch.columns[2:]
+            limit = most_apart(na.to_numpy() + nb.to_numpy(), num, den)
+            keep = np.zeros(len(batch), bool)
+            other = _by_words(y)
+            for wx, rows in _by_words(x).items():
+                for wy, more in other.items():
+                    own, least = np.intersect1d(rows, more, assume_unique=True), min(wx, wy)
+                    for part in np.array_split(own, -(-len(own) * max(wx, wy) // DIFFERENCES)) if len(own) else ():
+                        apart = _folded(_bitmaps(x, part, wx), least) ^ _folded(_bitmaps(y, part, wy), least)
+                        keep[part] = np.bitwise_count(apart).sum(1, dtype=np.int64) <= limit[part]
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    def side(name: str) -> DataFrame:
+        return maps.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"map_{name}"))
+
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "n_a", "map_a", "n_b", "map_b").mapInArrow(screen, "a long, b long")
+
+
 def _needed(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each node."""
+    """A bitmap with a bit for each node."""
     spots = nodes.selectExpr(f"pmod(node, {bits}) as spot")
     words = spots.selectExpr("spot div 64 as w", "shiftleft(1L, cast(spot % 64 as int)) as bit").groupBy("w").agg(F.bit_or("bit").alias("m"))
     out = np.zeros(bits // 64, np.int64)
@@ -325,8 +396,8 @@ def _needed(nodes: DataFrame, bits: int) -> np.ndarray:
 
 def _bodies(docs: DataFrame, text_col: str, nodes: DataFrame, width: int) -> DataFrame:
     """(node, body): the whole sets of the nodes, and of the few others that share their bits."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_needed(nodes, BITS))
-    bits = BITS
+    bits = min(MOST_BITS, 1 << (BITS_EACH * max(nodes.count(), 64) - 1).bit_length())
+    bitmap = docs.sparkSession.sparkContext.broadcast(_needed(nodes, bits))
 
     def run(batches):
         need, seen = bitmap.value, set()
@@ -368,83 +439,97 @@ def _verified(sets: DataFrame, candidates: DataFrame, num: int, den: int) -> Dat
     return joined.select("a", "b", "body_a", "body_b").mapInArrow(verify, "a long, b long")
 
 
-def _scanned(sets: DataFrame, rest: DataFrame, num: int, den: int, work: Workspace) -> DataFrame | None:
-    """Links (a, b) of the nodes of ``rest`` with all sets; None where they are too many to carry.
-
-    A block's sets go out as one inverted index; every set walks its elements' lists and counts what it
-    shares with each, so there is a row a link and none a pair.
-    """
-    spark = sets.sparkSession
-    left = work.table(sets.join(rest.select("node").distinct(), "node", "left_semi"), "left")
-    elements = (left.agg(F.sum(F.length("body"))).first()[0] or 0) // 8
-    blocks = max(1, -(-2 * elements // BLOCK_ELEMENTS))
-    if blocks > MOST_BLOCKS:
-        return None
-    links = spark.createDataFrame([], "a long, b long")
-    for i in range(blocks):
-        own = left.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i).toArrow()
-        bodies = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("body")]
-        if not bodies:
-            continue
-        size = np.array([len(x) for x in bodies])
-        element, owner = np.concatenate(bodies), np.repeat(np.arange(len(bodies)), size)
-        order = np.argsort(element, kind="stable")
-        carried = spark.sparkContext.broadcast((own.column("node").to_numpy(), size, element[order], owner[order]))
-
-        def walk(batches, carried=carried):
-            names, size, element, owner = carried.value
-            for batch in batches:
-                a, b = [], []
-                for node, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    x = np.frombuffer(body.as_buffer(), np.uint64)
-                    first, last = np.searchsorted(element, x, "left"), np.searchsorted(element, x, "right")
-                    both = np.bincount(owner[ragged(first, last - first)], minlength=len(names))
-                    hit = names[den * both >= num * (len(x) + size - both)]
-                    hit = hit[hit != node]
-                    a += [node] * len(hit)
-                    b += hit.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        links = links.unionByName(sets.select("node", "body").mapInArrow(walk, "a long, b long"))
-    return work.table(links, "links-rest", batch=SET_ROWS)
-
-
-def _further(lists: DataFrame, sets: DataFrame, labels: DataFrame, used: DataFrame | None, num: int, den: int, work: Workspace, turn: int, rows: int) -> tuple[DataFrame, DataFrame | None] | None:
-    """Candidates and pivots (key, node) of the lists whose members are still in several components; None
-    where there are none.
-
-    In the probing rounds the members outside a list's largest component meet a few of its members, which
-    settles near copies of them, and small lists have these members as pivots for everyone.  Then all that
-    is left meets everyone, at once or, if it is too much to carry, as pivots of each list in turns.
-    """
+def _divided(lists: DataFrame, labels: DataFrame, work: Workspace, turn: int, rows: int) -> DataFrame | None:
+    """(key, node, n, root, main, size, others) of all members of the lists that lie in several components:
+    ``main`` is a list's largest component, ``others`` counts the members outside it.  None where there are none."""
     marked = work.table(lists.join(labels, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), f"marked-{turn}", rows=rows)
     parts = marked.groupBy("key", "root").agg(F.count("*").alias("members"))
     main = parts.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("size"), F.max("members").alias("most")).where("parts > 1")
     main = work.table(main.select("key", "main", "size", (F.col("size") - F.col("most")).alias("others")), f"main-{turn}", rows=rows)
-    if main.isEmpty():
-        return None
-    own = marked.join(main, "key")
-    rest = own.where("root <> main").select("key", "node", "n", "root", "size", "others")
-    if used is not None:
-        rest = rest.join(used, ["key", "node"], "left_anti")
-    if turn > PROBING_ROUNDS and (done := _scanned(sets, rest, num, den, work)) is not None:
-        return done, None
+    return None if main.isEmpty() else marked.join(main, "key")
+
+
+def _probing(own: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates (a, b): the members outside each list's largest component and a few of its members.
+
+    ``own`` has (key, node, n, root, main, size, others) of all members of lists in several components.
+    """
     rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    close = f"root <> proot and {num} * greatest(n, pn) <= {den} * least(n, pn)"
+    probed = own.where("root = main").withColumn("i", rank).where(F.col("i") <= PROBES).select("key", F.col("node").alias("p"), F.col("n").alias("pn"))
+    met = own.where("root <> main").select("key", "node", "n").join(probed, "key").where(f"{num} * greatest(n, pn) <= {den} * least(n, pn)")
+    return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
-    def met(side: DataFrame, pivots: DataFrame) -> DataFrame:
-        return side.select("key", "node", "n", "root").join(pivots, "key").where(close).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
-    named = [F.col("key"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot")]
-    all_at_once = F.col("size") * F.col("others") <= ROUND_PAIRS
-    chosen = rest.where(all_at_once) if turn <= PROBING_ROUNDS else rest.withColumn("i", rank).where(all_at_once | (F.col("i") <= MORE_PIVOTS))
-    pivots = work.table(chosen.select(*named), f"pivots-{turn}", rows=rows)
-    out = met(marked, pivots)
-    if turn <= PROBING_ROUNDS:
-        first, last = PROBES * (turn - 1) + 1, PROBES * turn
-        probed = own.where((F.col("root") == F.col("main")) & ~all_at_once).withColumn("i", rank).where(F.col("i") <= last + 1).where(F.col("i") > first)
-        out = out.unionByName(met(rest.where(~all_at_once), probed.select(*named))).distinct()
-    return out, pivots.select("key", F.col("p").alias("node"))
+def _in_blocks(own: DataFrame, maps: DataFrame, num: int, den: int, work: Workspace) -> DataFrame:
+    """Candidates (a, b), screened: every member outside a list's largest component and all others of the list
+    in other components.
+
+    Lists with the same largest component are taken as one group where that means fewer comparisons (near
+    copies stand together in many lists), else each by itself.  A group is cut into blocks of its members
+    outside the component (``LEFT_BLOCK``) and blocks of all its members (``MET_BLOCK``); each pair of blocks
+    is a piece of work of its own, so no group is gathered in one task.
+    """
+    together = own.select("main", "node", "n", "root").distinct()
+    costs = own.select("key", "main", "size", "others").distinct().groupBy("main").agg(F.sum(F.col("size") * F.col("others")).alias("apart"))
+    groups = together.groupBy("main").agg(F.count("*").alias("s"), F.count(F.when(F.col("root") != F.col("main"), 1)).alias("r")).join(costs, "main")
+    groups = work.table(groups.select("main", "s", "r", (F.col("s") * F.col("r") <= F.col("apart")).alias("one")), "groups")
+    whole = together.join(groups.where("one"), "main").select(F.col("main").alias("g"), "one", "main", "node", "n", "root", "s", "r")
+    single = own.join(groups.where("not one").select("main", "one"), "main").select(F.col("key").alias("g"), "one", "main", "node", "n", "root", F.col("size").alias("s"), F.col("others").alias("r"))
+    rows = whole.unionByName(single).join(maps.select("node", "bitmap"), "node")
+    rows = rows.withColumn("nr", F.ceil(F.col("r") / LEFT_BLOCK).cast("int")).withColumn("ns", F.ceil(F.col("s") / MET_BLOCK).cast("int"))
+    h = F.xxhash64("node")
+    i, j = F.pmod(h, F.col("nr")).cast("int"), F.pmod(F.shiftright(h, 20), F.col("ns")).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    kept = ["node", "n", "root", (F.col("root") != F.col("main")).alias("is_left"), "bitmap"]
+    left = rows.where("root <> main").select("g", "one", i.alias("i"), every("ns").alias("j"), F.lit(0).alias("side"), *kept)
+    met = rows.select("g", "one", every("nr").alias("i"), j.alias("j"), F.lit(1).alias("side"), *kept)
+    blocks = left.unionByName(met).repartition("g", "one", "i", "j").sortWithinPartitions("g", "one", "i", "j", "side", "node")
+
+    def against(own: dict, batch: pa.RecordBatch):
+        """The pairs of the block's left members and of a batch of met ones."""
+        node, n, root, is_left = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5, 9))
+        n = n.astype(np.int64)
+        for wy, rows in _by_words(batch.column(9)).items():
+            y = _bitmaps(batch.column(9), rows, wy)
+            for wx, (x, x_node, x_n, x_root) in own.items():
+                least = min(wx, wy)
+                short, other = _folded(x, least), _folded(y, least)
+                step = max(1, DIFFERENCES // (len(x) * least))
+                for at in range(0, len(rows), step):
+                    k = rows[at : at + step]
+                    total = x_n[:, None] + n[k]
+                    close = (num * np.maximum(x_n[:, None], n[k]) <= den * np.minimum(x_n[:, None], n[k])) & (x_root[:, None] != root[k]) & (~is_left[k] | (x_node[:, None] < node[k]))
+                    apart = np.bitwise_count(short[:, None] ^ other[None, at : at + step]).sum(2, dtype=np.int64)
+                    p, q = np.nonzero(close & (apart <= most_apart(total, num, den)))
+                    yield x_node[p], node[k][q]
+
+    def compare(batches):
+        open_, held, own = None, [], None
+        for batch in batches:
+            told = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            firsts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in told], 0)]))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for first, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(batch)], strict=True):
+                name, part = tuple(int(c[first]) for c in told[:4]), batch.slice(first, end - first)
+                if name != open_:
+                    open_, held, own = name, [], None
+                if told[4][first] == 0:
+                    held.append(part)
+                elif held:
+                    if own is None:
+                        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                        cols = [whole.column(k).to_numpy() for k in (5, 6, 7)]
+                        own = {w: (_bitmaps(whole.column(9), rows, w), *(c[rows] for c in cols)) for w, rows in _by_words(whole.column(9)).items()}
+                    for x, y in against(own, part):
+                        a.append(x)
+                        b.append(y)
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return blocks.mapInArrow(compare, "a long, b long").distinct()
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, work: Workspace | None = None) -> DataFrame:
@@ -480,33 +565,35 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     spread = spark.sparkContext.broadcast((ids[order], freq[order]))
     keys = _prefixes(docs, "text", spread, light, num, den, width)
-    lists = keys.repartition(partitions_for(docs), "key").sortWithinPartitions("key", "band", "node")
+    lists = keys.repartition(partitions_for(docs), "key", "part").sortWithinPartitions("key", "part", "band", "node")
     scan = work.table(_scan(lists, light, num, den), "scan")
-    fresh = work.table(scan.where("kind = 0").select("a", "b").distinct(), "candidates-0")
-    long_lists = scan.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").cast("int").alias("n"))
+    spread.unpersist()
+    fresh = work.table(scan.where("kind = 0").select("a", "b").distinct(), "met-0")
+    long_lists = work.table(scan.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").cast("int").alias("n")).distinct(), "lists")
+    work.drop("scan", "frequencies")
     listed = long_lists.count()
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long_lists.select("node")).distinct()
+
+    one_each = found.where("node is not null").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"))
+    maps = work.table(one_each.join(ends(fresh), "node", "left_semi"), "maps")
+    fresh = work.table(_screened(fresh, maps, num, den), "candidates-0", batch=SCREEN_ROWS)
     # whatever a later round compares stands in a long list, so the sets are gathered once
-    members = fresh.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long_lists.select("node"))
-    sets = work.table(_bodies(docs, "text", members, width), "sets")
-    work.release()
-    labels, used, turn = None, None, 0
-    while not fresh.isEmpty() or (labels is not None and turn <= PROBING_ROUNDS):
-        proven = work.table(_verified(sets, fresh, num, den), f"links-{turn}", batch=SET_ROWS)
-        links = proven if labels is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proven)
-        labels = components(links, work, f"cc{turn}")
-        turn += 1
-        further = _further(long_lists, sets, labels, used, num, den, work, turn, listed)
-        if further is None:
-            break
-        if further[1] is None:  # links of all that was left
-            labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further[0]), work, "cc-last")
+    sets = work.table(_bodies(docs, "text", work.table(ends(fresh), "ends"), width), "sets")
+    labels = spark.createDataFrame([], "node long, root long")
+    for turn in range(3):
+        if not fresh.isEmpty():
+            proven = work.table(_verified(sets, fresh, num, den), f"links-{turn}", batch=SET_ROWS)
+            labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proven), work, f"cc{turn}")
+        own = _divided(long_lists, labels, work, turn, listed) if turn < 2 else None
+        if own is None:
             break
-        fresh = work.table(further[0], f"candidates-{turn}", rows=listed)
-        used = further[1] if used is None else used.unionByName(further[1])
-    if labels is None:
-        labels = spark.createDataFrame([], "node long, root long")
+        fresh = _screened(_probing(own, num, den), maps, num, den) if turn == 0 else _in_blocks(own, maps, num, den, work)
+        fresh = work.table(fresh, f"candidates-{turn + 1}", batch=SCREEN_ROWS)
     named = work.table(found.join(labels, "node", "left").select("id", "n", "node", F.coalesce("root", "node").alias("root")), "named", rows=rows)
     least_id = work.table(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), "least", rows=rows)
+    work.keep("named", "least")
     out = named.join(least_id, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "node")
 
@@ -520,11 +607,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     work = Workspace(docs.sparkSession, "keep")
     own = ngram_jaccard(docs, id_col, text_col, percent, width, work)
     kept = own.where(F.col("component_id").eqNullSafe(F.col(id_col)) & F.col("node").isNotNull())
-    first = work.table(kept.groupBy(F.col("component_id").alias("__sw_id")).agg(F.min("node").alias("__sw_node")), "kept")
     columns = docs.columns
     names = [f"__sw_c{i}" for i in range(len(columns))]
     plain = docs.toDF(*names)
     i, t = columns.index(id_col), columns.index(text_col)
+    if own.where(F.col(id_col).isNull()).isEmpty() and own.groupBy(id_col).count().where("count > 1").isEmpty():
+        # each row has an id of its own, which is enough to know it by; fewer go than stay
+        gone = work.table(own.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__sw_id")), "gone")
+        return plain.join(gone, plain[names[i]] == gone["__sw_id"], "left_anti").toDF(*columns)
+    first = work.table(kept.groupBy(F.col("component_id").alias("__sw_id")).agg(F.min("node").alias("__sw_node")), "kept")
 
     def tag(batches):
         for batch in batches:

@@ -1,28 +1,35 @@
 """Shared work folders, and tables that cut lineage there.
 
 Driver and executors share only the folder named in ``spark.checkpoint.dir``; every intermediate table
-goes there, so a lost executor costs a reread and nothing else.
+goes there, so a lost executor costs a reread and nothing else.  As each table is written once and reread, the
+shuffle files of its plan go as soon as it stands.
 """
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in local tests.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI."""
+    """The folder that driver and executors share, as a URI.  A cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch on its way to a worker, about; a single row may be longer.
+BATCH_BYTES = 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Narrow rows of a file, and the fewest files, of tables whose size is known.
 FILE_ROWS, FEWEST_FILES = 250_000, 8
 
@@ -33,6 +40,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/strandweave-{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,24 +50,29 @@ class Workspace:
         written in as few files as that takes; ``batch`` bounds the rows of the Arrow batches on the way."""
         if rows is not None:
             df = df.coalesce(max(FEWEST_FILES, -(-rows // FILE_ROWS)))
-        was = self.spark.conf.get(ARROW_ROWS)
+        own = {CLEANUP: "true", ARROW_BYTES: str(BATCH_BYTES)} | ({} if batch is None else {ARROW_ROWS: str(batch)})
+        was = {k: self.spark.conf.get(k, None) for k in own}
         try:
-            if batch is not None:
-                self.spark.conf.set(ARROW_ROWS, str(batch))
+            for k, v in own.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
-            self.spark.conf.set(ARROW_ROWS, was)
+            for k, v in was.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but those that the result is read from."""
+        self.drop(*(self.names - set(names)))
 
 
 def partitions_for(df: DataFrame, mb: int = 32, at_least: int = 0) -> int:
