@@ -1,30 +1,46 @@
 """Class hierarchies: closures, depths, slot owners, reachability and structural features.
 
-Edges are (schema-wide) rows (cls, parent).  Closures are recursive SQL over the edges; schemas are small
-beside data, but nothing here depends on that.
+Edges are (schema-wide) rows (cls, parent).  Closures double the distance that is known in every round, so a
+chain of n links takes some log2(n) joins, whatever its length; cycles end by themselves.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest chain that is followed, which also ends cycles.
-DEEPEST = 64
+from ..sources.paths import shared_dir
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(cls, ancestor, dist): every class with itself and all classes above it, at the least distance."""
-    edges = edges.select("cls", "parent").distinct()
+    """(cls, ancestor, dist): every class with itself and all classes above it, at the least distance.
+
+    Rounds are written to the shared folder.  A round joins the ways of the greatest known length with all
+    ways of at most that length, which gives each longer way up to twice that length.
+    """
     spark = edges.sparkSession
-    nodes = edges.select("cls").unionByName(edges.where("parent is not null").select(F.col("parent").alias("cls"))).distinct()
-    sql = f"""
-        WITH RECURSIVE up(cls, ancestor, dist) AS (
-          SELECT cls, cls, 0 FROM {{nodes}}
-          UNION ALL SELECT up.cls, e.parent, up.dist + 1 FROM up JOIN {{edges}} e ON up.ancestor = e.cls
-          WHERE e.parent IS NOT NULL AND up.dist < {DEEPEST} AND e.parent <> up.cls)
-        SELECT cls, ancestor, min(dist) AS dist FROM up GROUP BY cls, ancestor"""
-    return spark.sql(sql, nodes=nodes, edges=edges)
+    edges = edges.select("cls", "parent").where("cls is not null").distinct()
+    folder, schema = f"{shared_dir(spark)}/strandweave-closure-{uuid.uuid4().hex}", None
+    links = edges.where("parent is not null and parent <> cls")
+    nodes = edges.select("cls").unionByName(links.select(F.col("parent").alias("cls"))).distinct()
+    rows = nodes.select("cls", F.col("cls").alias("ancestor"), F.lit(0).alias("dist")).unionByName(links.select("cls", F.col("parent").alias("ancestor"), F.lit(1).alias("dist")))
+    rounds: list[DataFrame] = []
+    length = 1
+    while True:
+        path, schema = f"{folder}/{len(rounds)}", schema or rows.schema
+        rows.write.parquet(path)
+        rounds.append(spark.read.schema(schema).parquet(path))
+        known = reduce(DataFrame.unionByName, rounds)
+        longest = rounds[-1].where(F.col("dist") == length)
+        if longest.isEmpty():
+            return known
+        first = longest.select("cls", F.col("ancestor").alias("middle"), F.col("dist").alias("d"))
+        rest = known.where("dist > 0").select(F.col("cls").alias("middle"), "ancestor", "dist")
+        ways = first.join(rest, "middle").groupBy("cls", "ancestor").agg(F.min(F.col("d") + F.col("dist")).alias("dist"))
+        rows, length = ways.join(known.select("cls", "ancestor"), ["cls", "ancestor"], "left_anti"), 2 * length
 
 
 def depths(edges: DataFrame) -> DataFrame:

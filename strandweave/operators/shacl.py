@@ -1,9 +1,14 @@
 """Shape constraints over triples: constraint rows in, findings out.
 
-A constraint is a row (shape, target_class, path, kind, param, items, severity, message).  Each kind is one
-join or aggregate over all constraints of that kind at once, so a graph is read a fixed number of times
-however many shapes there are.  The constraint rows are small and meet the triples by broadcast, guarded by
-their count.
+A constraint is a row (shape, target_class, path, kind, param, items, severity, message).  All constraints on
+single values (datatype, nodeKind, in, pattern, ranges) are one join of the focus nodes with their values, both
+counts one aggregate, and hasValue, class and closed one join each: a graph is read at most five times however
+many shapes and constraints there are.  The constraint rows are small and meet the triples by broadcast,
+guarded by their count.
+
+Items of ``in`` that are IRIs stand in angle brackets, so an IRI and a literal of one spelling differ.  Ranges
+are compared in the type of their limit: as timestamps where it looks like a date, else as numbers, exactly
+where 38 digits hold them.
 """
 
 from __future__ import annotations
@@ -59,53 +64,64 @@ def _found(df: DataFrame, value: Column, message: Column) -> DataFrame:
     return df.select("shape", F.col("s").alias("focus"), "path", F.col("kind").alias("constraint"), value.cast("string").alias("value"), "severity", F.coalesce("message", message).alias("message"))
 
 
+ON_VALUES = ["datatype", "nodeKind", "in", "pattern", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive"]
+
+
+def _in_range(value: Column, limit: Column, kind: Column) -> Column:
+    """Whether a value keeps a range's limit; null where the two cannot be compared."""
+
+    def kept(x: Column, y: Column) -> Column:
+        return F.when(kind == "minInclusive", x >= y).when(kind == "maxInclusive", x <= y).when(kind == "minExclusive", x > y).otherwise(x < y)
+
+    def typed(name: str) -> Column:
+        return kept(value.try_cast(name), limit.try_cast(name))
+
+    return F.when(limit.rlike(r"^-?\d{4,}-\d\d-\d\d"), typed("timestamp")).otherwise(F.coalesce(typed("decimal(38,18)"), typed("double")))
+
+
+def _value_conforms() -> Column:
+    """Whether a value (o, o_kind, o_datatype) keeps its constraint (kind, param, items)."""
+    kind, param = F.col("kind"), F.col("param")
+    fits = F.lit(True)
+    for name, lexical in LEXICAL.items():
+        fits = F.when(param == f"{vocab.XSD}{name}", F.col("o").try_cast(lexical).isNotNull()).otherwise(fits)
+    datatype = (F.col("o_kind") == "literal") & (F.coalesce("o_datatype", F.lit(f"{vocab.XSD}string")) == param) & fits
+    node = F.when(param.endswith("BlankNodeOrIRI"), F.col("o_kind") != "literal").when(param.endswith("Literal"), F.col("o_kind") == "literal").when(param.endswith("IRI"), F.col("o_kind") == "iri").otherwise(F.col("o_kind") == "bnode")
+    listed = F.array_contains("items", F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.col("o")))
+    ranged = (F.col("o_kind") == "literal") & F.coalesce(_in_range(F.col("o"), param, kind), F.lit(False))
+    return F.when(kind == "datatype", datatype).when(kind == "nodeKind", node).when(kind == "in", F.coalesce(listed, F.lit(False))).when(kind == "pattern", F.rlike(F.col("o"), param)).otherwise(ranged)
+
+
 def findings(triples: DataFrame, rules: DataFrame) -> DataFrame:
     """(shape, focus, path, constraint, value, severity, message) of all that does not conform."""
     kinds = {r.kind for r in rules.select("kind").distinct().collect()}
     focus = focus_nodes(triples, rules)
-    rules_small = {k: _small(rules.where(F.col("kind") == k)) for k in kinds}
     values = triples.select("s", F.col("p").alias("path"), "o", "o_kind", "o_datatype")
     out: list[DataFrame] = []
 
-    def applied(kind: str) -> DataFrame:
-        """Each focus node's values of the constrained paths."""
-        wanted = focus.join(rules_small[kind], "target_class")
-        return wanted.join(values, ["s", "path"])
-
-    for kind in ("maxCount", "minCount"):
-        if kind in kinds:
-            wanted = focus.join(rules_small[kind], "target_class")
-            paths = rules.where(F.col("kind") == kind).select("path").distinct()
-            counts = values.join(_small(paths), "path", "left_semi").groupBy("s", "path").agg(F.count("*").alias("n"))
-            n = F.coalesce("n", F.lit(0))
-            bad = n > F.col("param").cast("long") if kind == "maxCount" else n < F.col("param").cast("long")
-            text = F.format_string(f"{'more' if kind == 'maxCount' else 'fewer'} than %s values", "param")
-            out.append(_found(wanted.join(counts, ["s", "path"], "left").where(bad), n, text))
-    if "datatype" in kinds:
-        df = applied("datatype")
-        plain = F.coalesce("o_datatype", F.lit(f"{vocab.XSD}string"))
-        fits = F.lit(True)
-        for name, kind in LEXICAL.items():
-            fits = F.when(F.col("param") == f"{vocab.XSD}{name}", F.col("o").try_cast(kind).isNotNull()).otherwise(fits)
-        out.append(_found(df.where((F.col("o_kind") != "literal") | (plain != F.col("param")) | ~fits), F.col("o"), F.format_string("value is not a %s", "param")))
-    if "nodeKind" in kinds:
-        ok = F.when(F.col("param").endswith("BlankNodeOrIRI"), F.col("o_kind") != "literal").when(F.col("param").endswith("Literal"), F.col("o_kind") == "literal").when(F.col("param").endswith("IRI"), F.col("o_kind") == "iri").otherwise(F.col("o_kind") == "bnode")
-        out.append(_found(applied("nodeKind").where(~ok), F.col("o"), F.format_string("value is no %s", F.substring_index("param", "#", -1))))
-    if "class" in kinds:
+    def wanted(*names: str) -> DataFrame:
+        """The focus nodes with the constraints of these kinds that hold for them."""
+        return focus.join(_small(rules.where(F.col("kind").isin(*names))), "target_class")
+
+    def told(*names: str) -> bool:
+        return bool(kinds & set(names))
+
+    if told(*ON_VALUES):
+        text = F.when(F.col("kind") == "datatype", F.format_string("value is not a %s", "param")).when(F.col("kind") == "nodeKind", F.format_string("value is no %s", F.substring_index("param", "#", -1)))
+        text = text.when(F.col("kind") == "in", "value is not in the list").when(F.col("kind") == "pattern", F.format_string("value does not match %s", "param")).otherwise(F.format_string("value fails %s %s", "kind", "param"))
+        out.append(_found(wanted(*ON_VALUES).join(values, ["s", "path"]).where(~_value_conforms()), F.col("o"), text))
+    if told("maxCount", "minCount"):
+        paths = rules.where("kind in ('maxCount', 'minCount')").select("path").distinct()
+        counts = values.join(_small(paths), "path", "left_semi").groupBy("s", "path").agg(F.count("*").alias("n"))
+        n, limit, most = F.coalesce("n", F.lit(0)), F.col("param").cast("long"), F.col("kind") == "maxCount"
+        text = F.format_string("%s than %s values", F.when(most, "more").otherwise("fewer"), "param")
+        out.append(_found(wanted("maxCount", "minCount").join(counts, ["s", "path"], "left").where(F.when(most, n > limit).otherwise(n < limit)), n, text))
+    if told("class"):
         members = focus_nodes(triples, rules.where("kind = 'class'").select(F.col("param").alias("target_class"))).select(F.col("s").alias("o"), F.col("target_class").alias("param"))
-        out.append(_found(applied("class").join(members, ["o", "param"], "left_anti"), F.col("o"), F.format_string("value is no %s", "param")))
-    if "in" in kinds:
-        out.append(_found(applied("in").where(~F.array_contains("items", F.col("o"))), F.col("o"), F.lit("value is not in the list")))
-    if "hasValue" in kinds:
-        wanted = focus.join(rules_small["hasValue"], "target_class")
-        out.append(_found(wanted.join(values.select("s", "path", F.col("o").alias("param")), ["s", "path", "param"], "left_anti"), F.col("param"), F.lit("the value is missing")))
-    if "pattern" in kinds:
-        out.append(_found(applied("pattern").where("not regexp_like(o, param)"), F.col("o"), F.format_string("value does not match %s", "param")))
-    for kind, test in (("minInclusive", lambda x, y: x >= y), ("maxInclusive", lambda x, y: x <= y), ("minExclusive", lambda x, y: x > y), ("maxExclusive", lambda x, y: x < y)):
-        if kind in kinds:
-            ok = test(F.col("o").try_cast("double"), F.col("param").cast("double"))
-            out.append(_found(applied(kind).where(~F.coalesce(ok, F.lit(False))), F.col("o"), F.format_string(f"value fails {kind} %s", "param")))
-    if "closed" in kinds:
+        out.append(_found(wanted("class").join(values, ["s", "path"]).join(members, ["o", "param"], "left_anti"), F.col("o"), F.format_string("value is no %s", "param")))
+    if told("hasValue"):
+        out.append(_found(wanted("hasValue").join(values.select("s", "path", F.col("o").alias("param")), ["s", "path", "param"], "left_anti"), F.col("param"), F.lit("the value is missing")))
+    if told("closed"):
         allowed = rules.where("kind <> 'closed' and path is not null").groupBy("shape").agg(F.collect_set("path").alias("paths"))
         closed = rules.where("kind = 'closed'").drop("path").join(allowed, "shape", "left")
         every = F.array_union(F.coalesce("paths", F.array().cast("array<string>")), F.coalesce("items", F.array().cast("array<string>")))
@@ -121,7 +137,7 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def validate(triples: DataFrame, rules: DataFrame) -> tuple[bool, DataFrame]:
-    """Whether the triples conform, and the findings."""
+    """Whether the triples conform, and the findings, persisted: unpersist them when done."""
     found = findings(triples, rules).persist()
     return found.isEmpty(), found
 
@@ -158,7 +174,7 @@ def generate(schema, units: dict[str, list[str]] | None = None) -> list[dict]:
                     out.append(shape | {"path": path, "kind": "datatype", "param": f"{vocab.XSD}{vocab.LITERAL_TYPES.get(kind, 'string')}"})
                     out.append(shape | {"path": path, "kind": "nodeKind", "param": f"{vocab.SHACL}Literal"})
         if units and units.get(name):
-            out.append(shape | {"path": f"{vocab.QUDT}hasUnit", "kind": "in", "items": units[name]})
+            out.append(shape | {"path": f"{vocab.QUDT}hasUnit", "kind": "in", "items": [f"<{u}>" for u in units[name]]})
     return out
 
 

@@ -31,7 +31,7 @@ def constraint_rows(graph: Graph) -> list[dict]:
                 before = len(out)
                 out += [base | told | {"kind": k, "param": v.value} for k in _VALUES for v in graph.values(p, f"{SH}{k}")]
                 if (head := graph.value(p, f"{SH}in")) is not None:
-                    out.append(base | told | {"kind": "in", "items": list(graph.items(head))})
+                    out.append(base | told | {"kind": "in", "items": [f"<{t.value}>" if t.kind == "iri" else t.value for t in graph.terms(head)]})
                 if len(out) == before and path:  # a bare path still opens a closed shape
                     out.append(base | told | {"kind": "minCount", "param": 0})
     return out
@@ -79,7 +79,7 @@ def to_turtle(rows: list[dict]) -> str:
             told = [f"sh:path <{path}>"]
             for r in rules:
                 if r["kind"] == "in":
-                    told.append("sh:in ( " + " ".join(f"<{i}>" if ":" in i else f'"{i}"' for i in r["items"]) + " )")
+                    told.append("sh:in ( " + " ".join(i if i.startswith("<") and i.endswith(">") else f'"{i}"' for i in r["items"]) + " )")
                 elif r["kind"] in ("datatype", "nodeKind", "class"):
                     told.append(f"sh:{r['kind']} <{r['param']}>")
                 elif r["kind"] in ("pattern", "hasValue"):

@@ -47,15 +47,18 @@ class Graph:
     def subjects(self, p: str, o: str) -> list[str]:
         return list(dict.fromkeys(s.value for s, q, x in self.triples if q == p and x.value == o))
 
-    def items(self, head: str | None) -> Iterator[str]:
-        """The values of a list."""
+    def terms(self, head: str | None) -> Iterator[Term]:
+        """The members of a list."""
         seen = set()
         while head and head != f"{vocab.RDF}nil" and head not in seen:
             seen.add(head)
-            if (first := self.value(head, f"{vocab.RDF}first")) is not None:
-                yield first
+            yield from self.values(head, f"{vocab.RDF}first")[:1]
             head = self.value(head, f"{vocab.RDF}rest")
 
+    def items(self, head: str | None) -> Iterator[str]:
+        """The values of a list's members."""
+        return (t.value for t in self.terms(head))
+
     def merge(self, other: Graph) -> Graph:
         self.prefixes |= other.prefixes
         for t in other.triples:
