@@ -96,9 +96,11 @@ def append(incoming: DataFrame, log: DataFrame, role: str = "analyst", now: Colu
         raise ValueError(f"no such role: {role}")
     rows = incoming.where(is_manual() if role == "analyst" else is_human())
     if role == "accreditor":
-        bad = state_errors(rows, log).limit(20).collect()
+        errors = state_errors(rows, log)
+        bad = errors.limit(20).collect()
         if bad:
-            raise LedgerError("; ".join(f"{r.subject_id} → {r.object_id}: {r.error}" for r in bad))
+            more = errors.count() - len(bad)
+            raise LedgerError("; ".join([*(f"{r.subject_id} → {r.object_id}: {r.error}" for r in bad), *([f"and {more} more"] if more else [])]))
     return stamped(new_rows(rows, log), now).select(*vocab.MAPPING_COLUMNS)
 
 

@@ -1,21 +1,30 @@
 """Ranking of candidate mappings by vector similarity.
 
-The target schema's vectors are one side of a nested-loop join.  They are broadcast while their number is
-within ``BROADCAST_ROWS``; beyond that both sides are dealt into blocks that meet by equality, so no side
-has to fit in one task.
+The target schema's vectors are one side of a nested-loop join.  They are broadcast while they are within
+``BROADCAST_BYTES``; beyond that both sides are dealt into blocks that meet by equality, so no side has to fit
+in one task.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Target vectors that are broadcast at most (at 1,024 doubles each, 160 MB).
-BROADCAST_ROWS = 20_000
-#: Rows of a block beyond that.
-BLOCK_ROWS = 4096
+from ..sources.paths import shared_dir
+
+#: Bytes of target rows (their number, times the doubles of the longest) that are broadcast at most, and bytes
+#: of a block beyond that.
+BROADCAST_BYTES, BLOCK_BYTES = 32 << 20, 16 << 20
+#: Bytes that a row has beside its vectors, about.
+ROW_BYTES = 64
 LEAST_NORM = 1e-10
+#: Digits to which scores that differ only by the order of a sum count as equal.
+TIE_DIGITS = 12
 
 
 def norm(v: Column) -> Column:
@@ -41,14 +50,23 @@ def check_dimensions(source: DataFrame, target: DataFrame, column: str = "vector
 
 def paired(source: DataFrame, target: DataFrame) -> DataFrame:
     """Every source row with every target row."""
-    rows = target.count()
-    if rows <= BROADCAST_ROWS:
+    arrays = [f.name for f in target.schema.fields if f.dataType.typeName() == "array"]
+    rows, *longest = target.agg(F.count("*"), *[F.max(F.size(c)) for c in arrays]).first()
+    size = rows * (ROW_BYTES + 8 * sum(n or 0 for n in longest))
+    if size <= BROADCAST_BYTES:
         return source.crossJoin(F.broadcast(target))
-    blocks = -(-rows // BLOCK_ROWS)
+    blocks = -(-size // BLOCK_BYTES)
     dealt = target.withColumn("__block", F.pmod(F.xxhash64("object_id"), F.lit(blocks)))
     return source.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__block").drop("__block")
 
 
+def _blended(source: DataFrame, target: DataFrame) -> bool:
+    """Whether both sides have structures that are not all zero."""
+    return "structure" in source.columns and "structure" in target.columns and all(
+        df.where(F.exists("structure", lambda x: x != 0)).limit(1).count() for df in (source, target)
+    )
+
+
 def scores(source: DataFrame, target: DataFrame, weight: float = 0.2) -> DataFrame:
     """(subject_id, object_id, object_pos, score) of all pairs.
 
@@ -56,9 +74,7 @@ def scores(source: DataFrame, target: DataFrame, weight: float = 0.2) -> DataFra
     maybe structure.  The score is the cosine, blended with that of the structures by ``weight`` where both
     sides have one that is not all zero.
     """
-    blended = "structure" in source.columns and "structure" in target.columns and all(
-        df.where(F.exists("structure", lambda x: x != 0)).limit(1).count() for df in (source, target)
-    )
+    blended = _blended(source, target)
     extra = ["structure"] if blended else []
     left = source.select("subject_id", unit(F.col("vector")).alias("a"), *[unit(F.col(c)).alias("sa") for c in extra])
     right = target.select("object_id", "object_pos", unit(F.col("vector")).alias("b"), *[unit(F.col(c)).alias("sb") for c in extra])
@@ -76,3 +92,64 @@ def rank(scored: DataFrame, top_k: int = 5, min_score: float = 0.0, digits: int
     rows = scored.withColumn("raw", F.col("score")).withColumn("score", F.round("score", digits)).where(F.col("score") >= min_score)
     order = Window.partitionBy("subject_id").orderBy(F.desc("raw"), F.desc("object_pos"))
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("subject_id", "object_id", "score", "rank")
+
+
+def _matrix(column) -> np.ndarray:
+    """Rows of equal length over their lengths, in double precision."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), LEAST_NORM)
+
+
+def best_candidates(source: DataFrame, target: DataFrame, top_k: int = 5, min_score: float = 0.0, weight: float = 0.2, digits: int = 6) -> DataFrame:
+    """(subject_id, object_id, score, rank): ``rank`` of ``scores``, without a row a pair.
+
+    Targets go out in blocks of ``BROADCAST_BYTES``, each a pass over the sources that multiplies matrices and
+    keeps ``top_k`` candidates a source; only these are shuffled, and only where there are several blocks.
+    Scores that agree to ``TIE_DIGITS`` are ties.  Null vectors have no candidates and are none.
+    """
+    check_dimensions(source.where("vector is not null"), target.where("vector is not null"))
+    extra = ["structure"] if _blended(source, target) else []
+    left = source.where("vector is not null").select("subject_id", "vector", *extra)
+    right = target.where("vector is not null").select("object_id", "object_pos", "vector", *extra)
+    rows, *longest = right.agg(F.count("*"), *[F.max(F.size(c)) for c in ("vector", *extra)]).first()
+    blocks = max(1, -(-rows * (ROW_BYTES + 8 * sum(n or 0 for n in longest)) // BROADCAST_BYTES))
+    schema = "subject_id string, object_id string, score double, raw double, object_pos long, rank int"
+    spark, folder = source.sparkSession, f"{shared_dir(source.sparkSession)}/strandweave-candidates-{uuid.uuid4().hex}"
+
+    def one(i: int):
+        block = (right if blocks == 1 else right.where(F.pmod(F.xxhash64("object_id"), F.lit(blocks)) == i)).toArrow()
+        order = np.argsort(-block.column("object_pos").to_numpy(), kind="stable")  # so that the later target wins a tie
+        block = block.take(pa.array(order))
+        carried = spark.sparkContext.broadcast((block.column("object_id").to_pylist(), block.column("object_pos").to_numpy(), [_matrix(block.column(c)) if len(block) else None for c in ("vector", *extra)]))
+
+        def run(batches):
+            names, places, sides = carried.value
+            for batch in batches:
+                if not names or not len(batch):
+                    continue
+                raw = _matrix(batch.column(1)) @ sides[0].T
+                if extra:
+                    raw = (1 - weight) * raw + weight * (_matrix(batch.column(2)) @ sides[1].T)
+                raw = np.round(raw, TIE_DIGITS)
+                shown = np.round(raw, digits)
+                raw = np.where(shown >= min_score, raw, -np.inf)
+                best = np.argsort(-raw, axis=1, kind="stable")[:, :top_k]
+                row = np.repeat(np.arange(len(batch)), best.shape[1])
+                best = best.ravel()
+                use = np.isfinite(raw[row, best])
+                rank = np.tile(np.arange(1, len(best) // len(batch) + 1), len(batch))[use]
+                row, best = row[use], best[use]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)).cast(pa.string()), pa.array([names[j] for j in best.tolist()], pa.string()), pa.array(shown[row, best]), pa.array(raw[row, best]), pa.array(places[best].astype(np.int64)), pa.array(rank.astype(np.int32))], ["subject_id", "object_id", "score", "raw", "object_pos", "rank"])
+
+        return left.mapInArrow(run, schema), carried
+
+    wanted = ["subject_id", "object_id", "score", "rank"]
+    if blocks == 1:
+        return one(0)[0].select(*wanted)
+    for i in range(blocks):
+        found, carried = one(i)
+        found.write.mode("append").parquet(folder)
+        carried.destroy()
+    order = Window.partitionBy("subject_id").orderBy(F.desc("raw"), F.desc("object_pos"))
+    return spark.read.schema(schema).parquet(folder).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(*wanted)

@@ -39,6 +39,17 @@ def hashing_embedder(dim: int = 256) -> Embedder:
     return embed
 
 
+def model_embedder(model: str) -> Embedder:
+    """A sentence-embedding model by name, with the lead words of its family; ValueError where it does not load."""
+    try:
+        from sentence_transformers import SentenceTransformer
+
+        loaded = SentenceTransformer(model)
+    except Exception as error:  # a missing library, a missing file and a broken model alike
+        raise ValueError(f"the embedding model {model!r} does not load: {error}") from error
+    return lambda texts, query: np.asarray(loaded.encode(prefixed(texts, model, query)), float)
+
+
 def embedded(spark: SparkSession, schema: Schema, embed: Embedder, query: bool) -> DataFrame:
     """(node_id, label, datatype, pos, vector, structure) of a schema's nodes."""
     nodes = schema.nodes(spark).orderBy("pos").collect()
@@ -69,7 +80,7 @@ def suggest(spark: SparkSession, source: Schema, target: Schema, log: DataFrame,
     blending = all(has) and structural_weight > 0
     if not blending:
         a, b = a.drop("structure"), b.drop("structure")
-    ranked = vectors.rank(vectors.scores(a, b, structural_weight), top_k, min_score)
+    ranked = vectors.best_candidates(a, b, top_k, min_score, structural_weight)
     kept = ledger.filter_decided(ranked, log)
     told = ledger.refresh(kept, log, vocab.COMPOSITE if blending else vocab.LEXICAL)
     for side, nodes in (("subject", left), ("object", right)):

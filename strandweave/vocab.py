@@ -19,7 +19,7 @@ BLOCK, WARNING, INFO = "BLOCK", "WARNING", "INFO"
 INTEGERS = ["integer", "int", "long", "short", "nonNegativeInteger", "positiveInteger"]
 FLOATS = ["float", "double", "decimal"]
 NUMERIC = INTEGERS + FLOATS
-#: What an output type of a function covers beside itself.
+# fixed values: what an output type of a function covers beside itself
 COVERS = {"integer": INTEGERS, "int": INTEGERS, "long": INTEGERS, "double": FLOATS, "float": FLOATS, "decimal": FLOATS, "string": ["string"], "boolean": ["boolean"]}
 
 # fixed values: XSD type names that schema imports leave behind, and the range they stand for
