@@ -21,18 +21,20 @@ from ..sources.paths import located
 from .mapping import ClassRule, MappingPlan, SlotRule
 
 
-def scan(spark: SparkSession, path: str, source_format: str, row_tag: str | None = None, iterator: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, source_format: str, row_tag: str | None = None, iterator: str | None = None, lines: bool = False) -> DataFrame:
     """Source data with CSV values as they are written, and JSON or XML in their nested shape.
 
-    ``iterator`` names a path to an array whose items are the rows.
+    ``iterator`` names a path to an array whose items are the rows.  ``lines`` says that no record goes over a
+    line's end (JSON lines, CSV without line breaks in cells); large files are then read in splits, not each by
+    one task.  XML is read in splits by its row tag anyway.
     """
     path = located(path)
     if source_format in ("csv", "tsv"):
-        df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", "\t" if source_format == "tsv" else ",").csv(path)
+        df = spark.read.option("header", True).option("multiLine", not lines).option("quote", '"').option("escape", '"').option("sep", "\t" if source_format == "tsv" else ",").csv(path)
         first = df.columns[0] if df.columns else ""
         df = df.withColumnRenamed(first, first.lstrip("﻿")) if first else df
     elif source_format == "json":
-        df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+        df = spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(path)
     elif source_format == "xml":
         if not row_tag:
             raise ValueError("XML needs the tag of its rows")
@@ -152,7 +154,7 @@ def jsonld_nodes(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
 
 
 def write_jsonld(triples: DataFrame, plan: MappingPlan, path: str) -> dict:
-    """Write one JSON node a line under ``path``; the context goes to the driver's return value."""
+    """Write one JSON node a line under ``path``, by the executors, and return the context that they share."""
     jsonld_nodes(triples, plan.prefixes).select("node").write.mode("overwrite").text(path)
     return context(plan)
 

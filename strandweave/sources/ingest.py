@@ -22,6 +22,8 @@ from .model import Schema
 from .paths import located
 from .turtle import parse
 
+#: An estimate of distinct values off by more than this much (six standard errors) means that some repeat.
+DISTINCT_ERROR = 0.3
 FORMATS = ["json-schema", "openapi", "xsd", "csv", "tsv", "json-sample", "rdfs"]
 
 
@@ -48,32 +50,41 @@ def read_text(path: str | Path) -> str:
 def profile(df: DataFrame) -> dict[str, dict[str, Any]]:
     """For each text column: its range, whether all values are there and distinct, and an example.
 
-    One aggregate over all rows: what every value can be cast to, nulls and distinct values.
+    One aggregate over all rows: what every value can be cast to, nulls, and about how many values are distinct.
+    Only columns that could be distinct are then counted exactly, one by one, so no row is multiplied by the
+    number of columns.
     """
     rows = F.count("*").alias("rows")
-    aggs = [rows]
+    aggs, text = [rows], {c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns}
     for i, c in enumerate(df.columns):
-        v = F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+        v = text[c]
         whole, real = v.rlike(r"^[+-]?\d+$"), v.try_cast("double").isNotNull() & v.rlike(r"^[+-]?(\d|\.)")
-        aggs += [F.count(v).alias(f"n{i}"), F.count_distinct(v).alias(f"d{i}"), F.count_if(whole).alias(f"i{i}"), F.count_if(real).alias(f"f{i}"), F.count_if(v.rlike("(?i)^(true|false)$")).alias(f"b{i}"), F.count_if(v.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d")).alias(f"t{i}"), F.count_if(v.rlike(r"^\d{4}-\d\d-\d\d$")).alias(f"a{i}"), F.max(v).alias(f"e{i}")]
+        aggs += [F.count(v).alias(f"n{i}"), F.approx_count_distinct(v).alias(f"d{i}"), F.count_if(whole).alias(f"i{i}"), F.count_if(real).alias(f"f{i}"), F.count_if(v.rlike("(?i)^(true|false)$")).alias(f"b{i}"), F.count_if(v.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d")).alias(f"t{i}"), F.count_if(v.rlike(r"^\d{4}-\d\d-\d\d$")).alias(f"a{i}"), F.max(v).alias(f"e{i}")]
     got = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(df.columns):
         n = got[f"n{i}"]
         kinds = [("i", "integer"), ("f", "float"), ("b", "boolean"), ("t", "datetime"), ("a", "date")]
         kind = next((name for k, name in kinds if n and got[f"{k}{i}"] == n), "string")
-        out[c] = {"range": kind, "unique": bool(n) and n == got["rows"] == got[f"d{i}"], "example": got[f"e{i}"]}
+        unique = bool(n) and n == got["rows"] and got[f"d{i}"] >= (1 - DISTINCT_ERROR) * n
+        if unique:
+            unique = df.groupBy(text[c].alias("v")).count().where("count > 1").isEmpty()
+        out[c] = {"range": kind, "unique": unique, "example": got[f"e{i}"]}
     return out
 
 
 def from_tabular(spark: SparkSession, path: str, name: str, separator: str = ",", cls: str = "Observation") -> Schema:
     """One class with a slot for each column; the first column of distinct values identifies, each further
     one is a unique key."""
-    if not str(path).startswith(("viewfs:", "hdfs:", "s3")):
-        read_text(str(path).removeprefix("file://"))
     df = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=separator).csv(located(path))
     if not df.columns:
         raise ValueError(f"{path} has no header")
+    # bytes that are no UTF-8 are read as U+FFFD, which a file of text does not hold
+    broken = F.lit(False)
+    for c in df.columns:
+        broken = broken | F.coalesce(F.contains(F.col(f"`{c}`"), F.lit("\ufffd")), F.lit(False))
+    if any("\ufffd" in c for c in df.columns) or not df.where(broken).limit(1).isEmpty():
+        raise ValueError(f"{path} is not UTF-8, or holds the sign U+FFFD that stands for what is not")
     names = [c.lstrip("﻿") if i == 0 else c for i, c in enumerate(df.columns)]
     found = profile(df.toDF(*names))
     slots, keys, first = {}, {}, True
@@ -207,7 +218,10 @@ def from_spark_type(kind: T.DataType, name: str) -> dict:
 
 def from_json_sample(spark: SparkSession, path: str, name: str) -> Schema:
     """The union of all objects of a sample, a list or one object; nested objects are classes."""
-    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(located(path))
+    try:
+        df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(located(path))
+    except Exception as error:  # Spark's own errors, whose classes differ with the fault
+        raise ValueError(f"{path} is not JSON: {str(error).splitlines()[0]}") from error
     return from_json_schema(from_spark_type(df.schema, name) | {"title": name}, name)
 
 
@@ -298,10 +312,11 @@ def ingest(spark: SparkSession, path: str | Path, source_format: str | None = No
     """The schema of a file, its format and slot paths stamped; ValueError where it cannot be read."""
     kind = source_format or detect_format(path)
     name = name or re.sub(r"[^0-9A-Za-z_]+", "_", Path(path).stem)
+    if not re.match(r"[a-z0-9]+:/", str(path)) and not Path(path).exists():
+        raise FileNotFoundError(f"no such file: {path}")
     if kind in ("csv", "tsv"):
         out = from_tabular(spark, str(path), name, "\t" if kind == "tsv" else ",")
     elif kind == "json-sample":
-        json.loads(read_text(path))
         out = from_json_sample(spark, str(path), name)
     elif kind == "json-schema":
         try:

@@ -81,25 +81,28 @@ def to_text(rows: DataFrame, comments: list[str] | None = None) -> str:
 
 
 def append_to_file(rows: DataFrame, path: str | Path, comments: list[str] | None = None) -> int:
-    """Append rows to a log file, which gets a header first; rows written.  A legacy file is rewritten with
-    all columns."""
+    """Append rows to a log file, which gets a header first; rows written.
+
+    A file with the fifteen columns keeps them, header and rows.  Rows come to the driver partition by partition.
+    """
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    added = [list(r) for r in cells(rows).collect()]
+    columns, added = vocab.MAPPING_COLUMNS, 0
     if path.exists():
-        lines = path.read_text(encoding="utf-8").splitlines()
-        at = next((i for i, x in enumerate(lines) if not x.startswith("#")), None)
-        if at is not None and lines[at].rstrip("\r").split("\t") == LEGACY:
-            lines[at] = "\t".join(vocab.MAPPING_COLUMNS)
-            path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+        with path.open(encoding="utf-8") as lines:
+            head = next((x.rstrip("\r\n").split("\t") for x in lines if not x.startswith("#")), None)
+        if head == LEGACY:
+            columns = LEGACY
     with path.open("a", encoding="utf-8", newline="") as out:
         writer = csv.writer(out, delimiter="\t", lineterminator="\n")
         if out.tell() == 0:
             for line in comments or []:
                 out.write(f"# {line}\n")
-            writer.writerow(vocab.MAPPING_COLUMNS)
-        writer.writerows(added)
-    return len(added)
+            writer.writerow(columns)
+        for r in cells(rows).select(*columns).toLocalIterator():
+            writer.writerow(list(r))
+            added += 1
+    return added
 
 
 def write(rows: DataFrame, path: str, comments: list[str] | None = None) -> None:
