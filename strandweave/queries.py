@@ -264,41 +264,28 @@ def cosine_pairs(spark, d):
     return vectors.scores(left, right).select("subject_id", "object_id", F.round("score", 4).alias("score")).where("score >= 0.3")
 
 
-def _ranked(scored: DataFrame) -> DataFrame:
-    """Ranked by the score of four digits, so that the last bits of a sum do not decide ties."""
-    return vectors.rank(scored.withColumn("score", F.round("score", 4)), 5, 0.0, 4)
-
-
-_TOP = f"WITH {_PAIRS}, top AS (SELECT subject_id, object_id, score, row_number() OVER (PARTITION BY subject_id ORDER BY score DESC, pos DESC)::INT AS rank FROM (SELECT *, round({{}}, 4) AS score FROM pairs) WHERE score >= 0)"
+_TOP = f"WITH {_PAIRS}, scored AS (SELECT *, {{}} AS raw FROM pairs), top AS (SELECT subject_id, object_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY subject_id ORDER BY round(raw, 9) DESC, pos DESC)::INT AS rank FROM scored WHERE round(raw, 4) >= 0)"
 
 
 @_register(_TOP.format("cos") + " SELECT subject_id, object_id, score, rank FROM top WHERE rank <= 5")
 def topk_candidates(spark, d):
     left, right = (x.drop("structure") for x in _sides(spark, d))
-    return _ranked(vectors.scores(left, right))
+    return vectors.best_candidates(left, right, 5, 0.0, digits=4)
 
 
 @_register(_TOP.format("0.8 * cos + CASE WHEN same THEN 0.2 ELSE 0 END") + " SELECT subject_id, object_id, score, rank FROM top WHERE rank <= 5")
 def blend_candidates(spark, d):
-    return _ranked(vectors.scores(*_sides(spark, d), weight=0.2))
-
-
-_AS_LOG = f"dlog AS (SELECT 's:' || (user_id % 500) AS subject_id, 't:' || (event_id % 500) AS object_id, {_PREDICATE} AS predicate_id, {_JUSTIFIED} AS mapping_justification, ts AS mapping_date, event_id AS log_seq FROM events WHERE event_id % 11 = 0)"
+    return vectors.best_candidates(*_sides(spark, d), 5, 0.0, 0.2, 4)
 
 
-_AS_WHOLE_LOG = _AS_LOG.replace(" WHERE event_id % 11 = 0", "")
+_AS_LOG = f"dlog AS (SELECT 's:' || (user_id % 500) AS subject_id, 't:' || (event_id % 500) AS object_id, {_PREDICATE} AS predicate_id, {_JUSTIFIED} AS mapping_justification, ts AS mapping_date, event_id AS log_seq FROM events)"
 
 
-def _whole_decision_log(spark: SparkSession, d: str) -> DataFrame:
+def _decision_log(spark: SparkSession, d: str) -> DataFrame:
     e = _read(spark, d, "events")
     return e.select(F.expr("concat('s:', user_id % 500)").alias("subject_id"), F.expr("concat('t:', event_id % 500)").alias("object_id"), F.expr(_PREDICATE).alias("predicate_id"), F.expr(_JUSTIFIED).alias("mapping_justification"), F.col("ts").alias("mapping_date"), F.col("event_id").alias("log_seq"))
 
 
-def _decision_log(spark: SparkSession, d: str) -> DataFrame:
-    """Every eleventh row of the log, as the SQL of the two queries over it has it."""
-    return _whole_decision_log(spark, d).where("log_seq % 11 = 0")
-
-
 _ALL_CANDIDATES = "cand AS (SELECT 's:' || s.vec_id AS subject_id, 't:' || t.vec_id AS object_id FROM embeddings s, embeddings t WHERE s.vec_id % 10 = 0 AND t.vec_id % 10 <> 0)"
 
 
@@ -318,18 +305,6 @@ def refresh_from_log(spark, d):
     return ledger.refresh(_candidates(spark, d), _decision_log(spark, d), vocab.LEXICAL).select("subject_id", "object_id", "predicate_id", "mapping_justification")
 
 
-@_register(ORACLES["filter_decided"].replace(_AS_LOG, _AS_WHOLE_LOG))
-def filter_decided_whole(spark, d):
-    """``filter_decided`` by every row of the log."""
-    return ledger.filter_decided(_candidates(spark, d), _whole_decision_log(spark, d)).select("subject_id", "object_id")
-
-
-@_register(ORACLES["refresh_from_log"].replace(_AS_LOG, _AS_WHOLE_LOG))
-def refresh_from_log_whole(spark, d):
-    """``refresh_from_log`` by every row of the log."""
-    return ledger.refresh(_candidates(spark, d), _whole_decision_log(spark, d), vocab.LEXICAL).select("subject_id", "object_id", "predicate_id", "mapping_justification")
-
-
 # --- hierarchy --------------------------------------------------------------------------------------------
 
 _EDGES = "edges AS (SELECT 'r' || r_regionkey AS cls, 'world' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
@@ -413,12 +388,12 @@ def classify_rows(spark, d):
     return mapping.classify(_log(spark, d), source, target).select("log_seq", "kind")
 
 
-@_register("SELECT DISTINCT s_nationkey::VARCHAR AS cls, c_mktsegment AS slot FROM supplier, (SELECT DISTINCT c_mktsegment FROM customer) EXCEPT SELECT c_nationkey::VARCHAR, c_mktsegment FROM customer WHERE c_acctbal > 5000")
+@_register("SELECT DISTINCT s_nationkey::VARCHAR AS cls, c_mktsegment AS slot FROM supplier, (SELECT DISTINCT c_mktsegment FROM customer) EXCEPT SELECT c_nationkey::VARCHAR, c_mktsegment FROM customer WHERE c_acctbal > 9500")
 def required_missing(spark, d):
     c = _read(spark, d, "customer")
     segments = c.select(F.col("c_mktsegment").alias("slot")).distinct()
     need = _read(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("cls")).distinct().crossJoin(F.broadcast(segments))
-    return mapping.missing_required(need, c.where("c_acctbal > 5000").select(F.col("c_nationkey").cast("string").alias("cls"), F.col("c_mktsegment").alias("slot")))
+    return mapping.missing_required(need, c.where("c_acctbal > 9500").select(F.col("c_nationkey").cast("string").alias("cls"), F.col("c_mktsegment").alias("slot")))
 
 
 MC = "https://example.org/mc#"
@@ -441,6 +416,8 @@ def _triples(spark: SparkSession, d: str) -> DataFrame:
     """Orders and customers in one graph, with a few faults for the shapes to find."""
     graph = materialize.materialize(ORDERS, _orders(spark, d), unique_subject=True).unionByName(materialize.materialize(CUSTOMERS, _read(spark, d, "customer"), unique_subject=True))
     n = F.substring_index("s", "/", -1).cast("long")
+    second = graph.where((F.col("p") == f"{MC}segment") & (n % 45 == 0)).withColumn("o", F.lit("SECOND"))
+    graph = graph.unionByName(second)
     return graph.where(~((F.col("p") == f"{MC}segment") & (n % 50 == 0)) & ~((F.col("p") == vocab.RDF_TYPE) & F.col("s").startswith(f"{MC}customer/") & (n % 40 == 0)))
 
 
@@ -454,7 +431,8 @@ def _sql_triples(key: str, table: str, cls: str, lead: str, parts: list[tuple[st
 _XI = f"'{vocab.XSD}integer'"
 _SQL_ORDERS = _sql_triples("o_orderkey", "orders", "Order", "order", [("status", "o_orderstatus", "literal", "NULL"), ("orderKey", "o_orderkey::VARCHAR", "literal", _XI), ("priority", "o_orderpriority", "literal", "NULL"), ("placedBy", f"'{MC}customer/' || o_custkey", "iri", "NULL"), ("whole", "floor(o_totalprice)::BIGINT::VARCHAR", "literal", _XI)])
 _SQL_CUSTOMERS = _sql_triples("c_custkey", "customer", "Customer", "customer", [("name", "c_name", "literal", "NULL"), ("segment", "c_mktsegment", "literal", "NULL"), ("place", "'[' || c_nationkey || ',' || c_mktsegment || ']'", "literal", "NULL"), ("nation", "c_nationkey::VARCHAR", "literal", _XI)])
-_SQL_GRAPH = f"""WITH g0 AS ({_SQL_ORDERS} UNION ALL {_SQL_CUSTOMERS}), g1 AS (SELECT *, regexp_extract(s, '[0-9]+$')::BIGINT AS n FROM g0),
+_SQL_GRAPH = f"""WITH g0 AS ({_SQL_ORDERS} UNION ALL {_SQL_CUSTOMERS}), g00 AS (SELECT *, regexp_extract(s, '[0-9]+$')::BIGINT AS n FROM g0),
+g1 AS (SELECT * FROM g00 UNION ALL SELECT s, p, 'SECOND', o_kind, o_datatype, n FROM g00 WHERE p = '{MC}segment' AND n % 45 = 0),
 g AS (SELECT * FROM g1 WHERE NOT (p = '{MC}segment' AND n % 50 = 0) AND NOT (p = '{vocab.RDF_TYPE}' AND starts_with(s, '{MC}customer/') AND n % 40 = 0)),
 c AS (SELECT s FROM g WHERE p = '{vocab.RDF_TYPE}' AND o = '{MC}Customer'), o AS (SELECT s FROM g WHERE p = '{vocab.RDF_TYPE}' AND o = '{MC}Order')"""
 _T = "s", "p", "o", "o_kind", "o_datatype"
@@ -497,13 +475,16 @@ def triples_sql(spark, d):
 
 _C, _O = {"shape": "C", "target_class": f"{MC}Customer"}, {"shape": "O", "target_class": f"{MC}Order"}
 _RULES = {
-    "maxCount": [_C | {"path": f"{MC}name", "kind": "maxCount", "param": 0}],
+    "maxCount": [_C | {"path": f"{MC}segment", "kind": "maxCount", "param": 1}],
     "minCount": [_C | {"path": f"{MC}segment", "kind": "minCount", "param": 1}],
     "datatype": [_O | {"path": f"{MC}status", "kind": "datatype", "param": f"{vocab.XSD}integer"}, _O | {"path": f"{MC}whole", "kind": "datatype", "param": f"{vocab.XSD}integer"}],
     "range": [_O | {"path": f"{MC}whole", "kind": "minInclusive", "param": 50000}, _O | {"path": f"{MC}whole", "kind": "maxExclusive", "param": 200000, "severity": "Warning"}],
     "in": [_O | {"path": f"{MC}status", "kind": "in", "items": ["O", "F"]}],
     "class": [_O | {"path": f"{MC}placedBy", "kind": "class", "param": f"{MC}Customer"}],
-    "closed": [_C | {"kind": "closed", "param": "true", "items": [vocab.RDF_TYPE]}, _C | {"path": f"{MC}name", "kind": "maxCount", "param": 1}, _C | {"path": f"{MC}segment", "kind": "maxCount", "param": 1}, _C | {"path": f"{MC}nation", "kind": "nodeKind", "param": f"{vocab.SHACL}Literal"}],
+    "pattern": [_O | {"path": f"{MC}priority", "kind": "pattern", "param": "^[1-3]-"}],
+    "hasValue": [_C | {"path": f"{MC}segment", "kind": "hasValue", "param": "BUILDING"}],
+    "nodeKind": [_O | {"path": f"{MC}placedBy", "kind": "nodeKind", "param": f"{vocab.SHACL}Literal"}, _O | {"path": f"{MC}status", "kind": "nodeKind", "param": f"{vocab.SHACL}Literal"}],
+    "closed": [_C | {"kind": "closed", "param": "true", "items": [vocab.RDF_TYPE]}, _C | {"path": f"{MC}name", "kind": "maxCount", "param": 1}, _C | {"path": f"{MC}segment", "kind": "maxCount", "param": 2}, _C | {"path": f"{MC}nation", "kind": "nodeKind", "param": f"{vocab.SHACL}Literal"}],
 }
 
 
@@ -513,12 +494,15 @@ def _check(spark: SparkSession, d: str, *names: str) -> DataFrame:
 
 _F = "focus", "path", "constraint", "value"
 _SHACL_SQL = {
-    "maxCount": f"SELECT s AS focus, '{MC}name' AS path, 'maxCount' AS \"constraint\", count(*)::VARCHAR AS value, 'Violation' AS severity FROM g SEMI JOIN c USING (s) WHERE p = '{MC}name' GROUP BY s",
+    "maxCount": f"SELECT s AS focus, '{MC}segment' AS path, 'maxCount' AS \"constraint\", count(*)::VARCHAR AS value, 'Violation' AS severity FROM g SEMI JOIN c USING (s) WHERE p = '{MC}segment' GROUP BY s HAVING count(*) > 1",
     "minCount": f"SELECT s AS focus, '{MC}segment' AS path, 'minCount' AS \"constraint\", '0' AS value, 'Violation' AS severity FROM c WHERE s NOT IN (SELECT s FROM g WHERE p = '{MC}segment')",
     "datatype": f"SELECT s AS focus, p AS path, 'datatype' AS \"constraint\", o AS value, 'Violation' AS severity FROM g SEMI JOIN o USING (s) WHERE p = '{MC}status'",
-    "range": f"SELECT s AS focus, p AS path, k AS \"constraint\", o AS value, sev AS severity FROM g SEMI JOIN o USING (s), (VALUES ('minInclusive', 'Violation'), ('maxExclusive', 'Warning')) v(k, sev) WHERE p = '{MC}whole' AND ((k = 'minInclusive' AND o::DOUBLE < 50000) OR (k = 'maxExclusive' AND o::DOUBLE >= 200000))",
+    "range": f"SELECT s AS focus, p AS path, k AS \"constraint\", o AS value, sev AS severity FROM g SEMI JOIN o USING (s), (VALUES ('minInclusive', 'Violation'), ('maxExclusive', 'Warning')) v(k, sev) WHERE p = '{MC}whole' AND ((k = 'minInclusive' AND try_cast(o AS DOUBLE) < 50000) OR (k = 'maxExclusive' AND try_cast(o AS DOUBLE) >= 200000))",
     "in": f"SELECT s AS focus, p AS path, 'in' AS \"constraint\", o AS value, 'Violation' AS severity FROM g SEMI JOIN o USING (s) WHERE p = '{MC}status' AND o NOT IN ('O', 'F')",
     "class": f"SELECT s AS focus, p AS path, 'class' AS \"constraint\", o AS value, 'Violation' AS severity FROM g SEMI JOIN o USING (s) WHERE p = '{MC}placedBy' AND o NOT IN (SELECT s FROM c)",
+    "pattern": f"SELECT s AS focus, p AS path, 'pattern' AS \"constraint\", o AS value, 'Violation' AS severity FROM g SEMI JOIN o USING (s) WHERE p = '{MC}priority' AND NOT regexp_matches(o, '^[1-3]-')",
+    "hasValue": f"SELECT s AS focus, '{MC}segment' AS path, 'hasValue' AS \"constraint\", 'BUILDING' AS value, 'Violation' AS severity FROM c WHERE s NOT IN (SELECT s FROM g WHERE p = '{MC}segment' AND o = 'BUILDING')",
+    "nodeKind": f"SELECT s AS focus, p AS path, 'nodeKind' AS \"constraint\", o AS value, 'Violation' AS severity FROM g SEMI JOIN o USING (s) WHERE p = '{MC}placedBy'",
     "closed": f"SELECT s AS focus, p AS path, 'closed' AS \"constraint\", o AS value, 'Violation' AS severity FROM g SEMI JOIN c USING (s) WHERE p = '{MC}place'",
 }
 
@@ -599,3 +583,6 @@ def sssom_roundtrip(spark, d):
     if not both.groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0").isEmpty():
         raise ValueError(f"{path}: the rows read back are not those written")
     return back
+
+
+from . import document_queries  # noqa: E402, F401  # they register themselves

@@ -55,8 +55,8 @@ def test_every_row_of_the_log_decides(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([(i, i, [1.0]) for i in range(20)], "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     pairs = {(f"s:{s}", f"t:{t}") for s in (0, 10) for t in range(20) if t % 10}
-    kept = queries.QUERIES["filter_decided_whole"](spark, str(tmp_path)).collect()
+    kept = queries.QUERIES["filter_decided"](spark, str(tmp_path)).collect()
     assert len(kept) == 17 and {tuple(r) for r in kept} == {p for p in pairs if p[0] == "s:0" and p != ("s:0", "t:3")}
     told = {("s:0", "t:5"): ("skos:narrowMatch", vocab.MMC), ("s:10", "t:12"): ("skos:exactMatch", vocab.HC)}
-    got = queries.QUERIES["refresh_from_log_whole"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["refresh_from_log"](spark, str(tmp_path)).collect()
     assert {((r[0], r[1]), (r[2], r[3])) for r in got} == {(p, told.get(p, (vocab.RELATED, vocab.LEXICAL))) for p in pairs}

@@ -121,7 +121,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "radar.csv").write_text("id,speed_kmh\nT1,390\nT2,400\n")
     (tmp_path / "mc.json").write_text(json.dumps({"title": "Track", "type": "object", "properties": {"hasSpeed": {"type": "integer"}}}))
     run = lambda *a: cli.main(list(a))
-    assert run("ingest", "radar.csv") == 0 and run("ingest", "mc.json", "--master") == 0
+    assert run("ingest", "radar.csv", "-o", "radar.linkml.yaml") == 0 and run("ingest", "mc.json", "--master", "-o", "mc.linkml.yaml") == 0
     assert (tmp_path / "mc.shacl.ttl").exists() and (tmp_path / "strandweave.toml").exists()
     src, mst = "radar.linkml.yaml", "mc.linkml.yaml"
     assert run("suggest", src, mst, "--audit-log", "log.tsv", "-o", "cand.tsv") == 0
