@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 
 from .bytetext import chunks, mix, shingle_sets
 from .components import components
-from .storage import Workspace, partitions_for
+from .storage import Workspace, partitions_for, tidy
 
 #: Lists up to this long meet in all their (at most 120) pairs at once.
 SHORT_LIST = 16
@@ -67,7 +67,7 @@ SET_ROWS, SCREEN_ROWS = 256, 2048
 RARE = 8
 #: Bits, for each set that candidates need, of the bitmap that says which these are, and most bits of it.  A
 #: fuller bitmap sends more sets than needed and loses none.
-BITS_EACH, MOST_BITS = 16, 1 << 30
+BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Sizes tried as the boundary between light and heavy sets.
 LARGEST_BOUNDARY = 256
 
@@ -111,7 +111,7 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFr
                 maps += [parity(s).tobytes() if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(maps, pa.binary())], ["id", "n", "node", "bitmap"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, n long, node long, bitmap binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind.simpleString()}, n long, node long, bitmap binary")
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -159,12 +159,12 @@ def frequencies(docs: DataFrame, text_col: str, ranges: int, width: int, rare: i
             yield batch_of(pack(held))
 
     def add(batches):
-        ids: dict[int, list] = {}
+        packed: dict[int, list] = {}
         for batch in batches:
             for r, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids.setdefault(r, []).append((np.cumsum(_unplanes(blob[: 5 * n], n, 5)), _unplanes(blob[5 * n :], n, 4).astype(np.int64)))
-        for r in list(ids):
-            parts = ids.pop(r)
+                packed.setdefault(r, []).append((n, blob))
+        for r in list(packed):
+            parts = [(np.cumsum(_unplanes(blob[: 5 * n], n, 5)), _unplanes(blob[5 * n :], n, 4).astype(np.int64)) for n, blob in packed.pop(r)]
             token, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(token)
             token, count = token[order], count[order]
@@ -174,8 +174,8 @@ def frequencies(docs: DataFrame, text_col: str, ranges: int, width: int, rare: i
             low = df[~often]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(often.sum(), np.int32), [1]]).astype(np.int32)), pa.array(np.concatenate([token[firsts][often].astype(np.int64), [int((low * (low - 1)).sum())]]), pa.int64()), pa.array(np.concatenate([df[often], [int(low.sum())]]), pa.int64())], ["kind", "a", "b"])
 
-    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, "r int, n long, blob binary")
-    return packed.repartition(ranges, "r").mapInArrow(add, "kind int, a long, b long")
+    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(gather), "r int, n long, blob binary")
+    return packed.repartition(ranges, "r").mapInArrow(tidy(add), "kind int, a long, b long")
 
 
 def boundary(sizes: dict[int, int], partners: float, num: int, den: int) -> int:
@@ -204,8 +204,8 @@ def _prefixes(docs: DataFrame, text_col: str, order, light: int, num: int, den:
         bands = _RATIO ** np.arange(1, 200)
         seen: set[int] = set()
         for batch in batches:
-            keys, places, often, owners, sizes, counts = [], [], [], [], [], []
             for _, found in _sets(batch.column(0), width):
+                keys, places, often, owners, sizes, counts = [], [], [], [], [], []
                 found = [s for s in found if den * len(s) >= num * (len(s) + 1)]  # others link to equal sets only
                 if not found:
                     continue
@@ -242,16 +242,16 @@ def _prefixes(docs: DataFrame, text_col: str, order, light: int, num: int, den:
                     owners.append(node)
                     sizes.append(n)
                     counts.append(sum(map(len, out)))
-            if len(seen) > 1 << 20:
-                seen.clear()
-            if keys:
-                n, node = np.repeat(np.array(sizes, np.int32), counts), np.repeat(np.array(owners, np.int64), counts)
-                parts = np.concatenate(often) // per_part + 1
-                part = np.where(parts > 1, (mix(node.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(part.astype(np.int32)), pa.array(np.searchsorted(bands, n, "right").astype(np.int32)), pa.array(node), pa.array(n), pa.array(np.concatenate(places).astype(np.int32))], ["key", "part", "band", "node", "n", "place"])
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                if keys:
+                    n, node = np.repeat(np.array(sizes, np.int32), counts), np.repeat(np.array(owners, np.int64), counts)
+                    parts = np.concatenate(often) // per_part + 1
+                    part = np.where(parts > 1, (mix(node.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(part.astype(np.int32)), pa.array(np.searchsorted(bands, n, "right").astype(np.int32)), pa.array(node), pa.array(n), pa.array(np.concatenate(places).astype(np.int32))], ["key", "part", "band", "node", "n", "place"])
 
     per_part = PART
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, part int, band int, node long, n int, place int")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "key long, part int, band int, node long, n int, place int")
 
 
 def _scan(lists: DataFrame, light: int, num: int, den: int) -> DataFrame:
@@ -342,7 +342,7 @@ def _scan(lists: DataFrame, light: int, num: int, den: int) -> DataFrame:
             cols, tail = tail, None
             yield from work(cols, True)
 
-    return lists.mapInArrow(run, "kind int, a long, b long, c long")
+    return lists.mapInArrow(tidy(run), "kind int, a long, b long, c long")
 
 
 def _by_words(column: pa.Array) -> dict[int, np.ndarray]:
@@ -381,7 +381,7 @@ def _screened(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFram
         return maps.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"map_{name}"))
 
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "n_a", "map_a", "n_b", "map_b").mapInArrow(screen, "a long, b long")
+    return joined.select("a", "b", "n_a", "map_a", "n_b", "map_b").mapInArrow(tidy(screen), "a long, b long")
 
 
 def _needed(nodes: DataFrame, bits: int) -> np.ndarray:
@@ -416,7 +416,7 @@ def _bodies(docs: DataFrame, text_col: str, nodes: DataFrame, width: int) -> Dat
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["node", "body"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, body binary").groupBy("node").agg(F.any_value("body").alias("body"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "node long, body binary").groupBy("node").agg(F.any_value("body").alias("body"))
 
 
 def _verified(sets: DataFrame, candidates: DataFrame, num: int, den: int) -> DataFrame:
@@ -436,7 +436,7 @@ def _verified(sets: DataFrame, candidates: DataFrame, num: int, den: int) -> Dat
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = candidates.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-    return joined.select("a", "b", "body_a", "body_b").mapInArrow(verify, "a long, b long")
+    return joined.select("a", "b", "body_a", "body_b").mapInArrow(tidy(verify), "a long, b long")
 
 
 def _divided(lists: DataFrame, labels: DataFrame, work: Workspace, turn: int, rows: int) -> DataFrame | None:
@@ -529,7 +529,7 @@ def _in_blocks(own: DataFrame, maps: DataFrame, num: int, den: int, work: Worksp
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return blocks.mapInArrow(compare, "a long, b long").distinct()
+    return blocks.mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, work: Workspace | None = None) -> DataFrame:

@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import chunks, hash_spans, mix, ragged
+from .storage import tidy
 from .token_store import Memory
 
 RATE, SEED = 0.1, 17
 #: Characters of the longest stretches that are segmented many at a time.
 LONG = 32
-#: Draws that are made at a time.
-DRAWS = 1 << 20
+#: Draws that are made, and new stretches that are segmented, at a time.
+DRAWS, MANY = 1 << 18, 1 << 14
 #: Stands for the candidates of a stretch that is longer than LONG.
 _MANY = (1 << 32) - 1
 _MARK = "▁"
@@ -241,7 +242,7 @@ class Pieces:
             out: list = [None] * len(which)
             for n in np.unique(chars[chars <= LONG]).tolist():
                 rows = np.flatnonzero(chars == n)
-                for part in np.array_split(rows, -(-len(rows) // 65536)):
+                for part in np.array_split(rows, -(-len(rows) // MANY)):
                     found = self.segment_many(self.point[points[begin[part][:, None] + np.arange(n)]], keys[part], cutoff)
                     for i, ids in zip(part.tolist(), found, strict=True):
                         out[i] = ids
@@ -308,7 +309,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 arrays = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns), arrays], [*kept, out_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -330,7 +331,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, out_col])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED) -> DataFrame:
@@ -350,5 +351,5 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), was[:-1].tolist(), was[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(at), pa.int64()), pa.array([zlib.crc32(whole[4 * a : 4 * b]) for a, b, *_ in cuts], pa.int64()), pa.array([zlib.crc32(text[e:f]) for *_, e, f in cuts], pa.int64()), pa.array([raw[c:d] == text[e:f] for *_, c, d, e, f in cuts])], ["id", "n_tokens", "ids_crc32", "text_crc32", "lossless"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_crc32 long, text_crc32 long, lossless boolean")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_crc32 long, text_crc32 long, lossless boolean")
     return out.withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, WHITE, chunks, hash_spans, mix, spans, words
-from .storage import Workspace
+from .storage import Workspace, tidy
 
 #: Shrinkage towards the pooled covariance, of that towards its diagonal, and what is added to variances.
 SHRINK, DIAGONAL, RIDGE = 0.1, 0.1, 0.02
@@ -101,7 +101,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             offsets = pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(f.ravel()))], ["id", "f"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, f array<double>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, f array<double>")
 
 
 @dataclass
@@ -162,7 +162,7 @@ def train(features: DataFrame, labels: DataFrame, id_col: str, label_col: str, f
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], total.shape[1]).astype(np.int32)), pa.array(np.tile(np.arange(total.shape[1]), 2).astype(np.int32)), pa.array(total.ravel())], ["y", "i", "v"])
 
     total = np.zeros((2, 1 + d + d * d))
-    for y, i, v in rows.mapInArrow(moments, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v")).collect():
+    for y, i, v in rows.mapInArrow(tidy(moments), "y int, i int, v double").groupBy("y", "i").agg(F.sum("v")).collect():
         total[y, i] = v
     counts = total[:, 0]
     share = float(counts[1] / counts.sum()) if counts.sum() else 0.5
@@ -179,7 +179,7 @@ def scored(features: DataFrame, model: Discriminant | None, share: float, id_typ
             x = batch.column(1).flatten().to_numpy().reshape(-1, d)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x) if model else np.full(len(x), share))], ["id", "score"])
 
-    return features.mapInArrow(run, f"id {id_type}, score double")
+    return features.mapInArrow(tidy(run), f"id {id_type}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = REJECT_BELOW) -> DataFrame:
@@ -214,4 +214,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             score = [model.score(statistics(body, at)) if model else np.full(len(at) - 1, share) for _, _, body, at in chunks(batch.column(t))]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *score]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -7,8 +7,11 @@ shuffle files of its plan go as soon as it stands.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder and runs on one machine, as in tests.
@@ -22,7 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = LOCAL_DEFAULT
-        spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
 
@@ -75,6 +77,22 @@ class Workspace:
         self.drop(*(self.names - set(names)))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The batch function of ``mapInArrow``, which gives the memory it has freed back to the system when its task
+    ends: workers live on, and what one stage needed should not stand beside what the next one needs."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def partitions_for(df: DataFrame, mb: int = 32, at_least: int = 0) -> int:
     """Partitions of about ``mb`` MB of the plan's estimated input, never fewer than Spark's own setting."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

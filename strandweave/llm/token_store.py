@@ -24,6 +24,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytetext import LOWER, WHITE, chunks, hash_spans, ragged, spans
 from .elias_fano import EliasFano
@@ -31,8 +32,13 @@ from .storage import Workspace, partitions_for
 
 MAGIC = b"SWTOKENS"
 END_ID = 2
-#: Words that a worker remembers before it starts over.
-REMEMBERED = 1_500_000
+#: Words that a worker remembers before it starts over (some thirty bytes each, in a table of a million places).
+REMEMBERED = 600_000
+
+# fixed values: the normaliser and the splitter of the tokenizer file whose words ``units`` finds by itself; texts
+# go whole to the library where a file has others
+UNITS_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+UNITS_SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 # 0 white, 1 letter, 2 digit, 3 sign, 4 anything that only the library splits; the two bytes of a Latin-1
 # letter are letters, found by ``_classes``
@@ -169,12 +175,15 @@ _LOADED: dict[str, tuple] = {}
 
 
 def word_tokenizer(path: str):
-    """The tokenizer of a file and its memory, loaded once in a worker."""
+    """The tokenizer of a file, its memory, its special tokens, and whether ``units`` splits as it does; loaded
+    once in a worker."""
     if path not in _LOADED:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _LOADED[path] = t, Memory(), tuple(x.content.encode() for x in t.get_added_tokens_decoder().values())
+        told = json.loads(t.to_str())
+        known = (told["normalizer"], told["pre_tokenizer"], told["model"]["type"]) == (UNITS_NORMALIZER, UNITS_SPLITTER, "BPE")
+        _LOADED[path] = t, Memory(), tuple(x.content.encode() for x in t.get_added_tokens_decoder().values()), known
     return _LOADED[path]
 
 
@@ -182,11 +191,18 @@ def encode_column(column: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.
     """(ids, offsets) of chunks of whole documents: what the library gives for each whole text.
 
     Each distinct word goes to the library once, plain ones straight to its BPE model; the rest is gathered.
+    Files with another normaliser or splitter get whole texts.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t, memory, specials = word_tokenizer(path)
+    t, memory, specials, known = word_tokenizer(path)
+    if not known:
+        for _, _, body, at in chunks(column, 1 << 20):
+            raw = body.tobytes()
+            found = [e.ids for e in t.encode_batch_fast([raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], add_special_tokens=False)]
+            yield np.fromiter((i for x in found for i in x), np.uint32), np.cumsum([0, *map(len, found)])
+        return
     model = t.model
     for _, _, body, at in chunks(column):
         start, end, plain, first, low = units(body, at, specials)
@@ -277,8 +293,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
     """Write all documents' ids; the shards as (number, URI, documents, tokens) in ascending id order.
 
     Equal ids stay together or in neighbouring shards, in the order of a hash of their texts; null ids come
-    first.  Null and empty texts have the end id alone.  An empty table writes no shard.
+    first.  Null and empty texts have the end id alone.  An empty table writes no shard.  Ids that are not
+    whole numbers are an error.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     placed = source.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order)
