@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import embed_dedup, mixing, ngram_join, pieces, pii, quality, token_store, topk, toxicity, url_lists
 
 
+#: The key of the registered queries' surrogates, public as their tables are; a user gives a secret one.
+PII_KEY = "registered-queries"
+
+
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer's file."""
     import public_tokenizers
@@ -28,7 +32,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(_table(spark, sf_dir, "documents"), count_col="n_entities").select("doc_id", "n_entities", "text")
+    return pii.replace_entities(_table(spark, sf_dir, "documents"), PII_KEY, count_col="n_entities").select("doc_id", "n_entities", "text")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
