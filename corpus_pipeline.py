@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandweave.llm import mixing, ngram_join, pieces, pii, quality
-from strandweave.llm.queries import vocabulary
+from strandweave.llm.queries import PII_KEY, vocabulary
 from strandweave.llm.storage import Workspace
 
 
@@ -27,7 +27,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data and secrets replaced by surrogates, and n_chars to match."""
-    return pii.replace_entities(docs)
+    return pii.replace_entities(docs, PII_KEY)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         docs = work.table(stage(spark, docs, sf_dir), f"stage-{i}")
+        work.keep(f"stage-{i}")  # what it was made of is not read again
     return docs
