@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandweave.llm import mixing, ngram_join, pieces, pii, quality, token_store, toxicity
+from strandweave.llm import mixing, ngram_join, pieces, quality, token_store, toxicity
 from strandweave.llm.elias_fano import EliasFano
 from strandweave.llm.queries import vocabulary
 
@@ -83,21 +83,37 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
         assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in zip(ids, sets, strict=True)}
 
 
-def test_long_lists_go_on_until_done(spark, monkeypatch):
-    """With one pivot and very short lists the further rounds must find what the first does not."""
-    monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
-    monkeypatch.setattr(ngram_join, "FIRST_PIVOTS", 1)
-    monkeypatch.setattr(ngram_join, "MORE_PIVOTS", 1)
-    monkeypatch.setattr(ngram_join, "boundary", lambda *a: 0)
+@pytest.mark.parametrize("boundary", [0, 200])
+@pytest.mark.parametrize("part", [1 << 16, 3])
+def test_long_lists_go_on_until_done(spark, monkeypatch, boundary, part):
+    """With one pivot, one probe, very short lists and tiny blocks, with and without lists in parts, the blocks
+    must find what the first pass does not; sizes differ, and some members have a size of their own."""
+    for name, value in (("SHORT_LIST", 2), ("FIRST_PIVOTS", 1), ("PROBES", 1), ("LEFT_BLOCK", 3), ("MET_BLOCK", 4), ("PART", part), ("RARE", 2), ("boundary", lambda *a: boundary)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(5)
     base = [f"c{i}" for i in range(60)]
     texts = [t for k in range(5) for t in variants(rng, 6, base[:50] + [f"k{k}y{i}" for i in range(12)], 1)]
+    texts += [" ".join(base[: 40 + 2 * k]) for k in range(11)] + variants(rng, 12, base, 2)
     sets = [shingles(t) for t in texts]
     ids = list(range(len(texts)))
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard(docs(spark, texts)).collect()}
     assert got == dict(zip(ids, brute_components(ids, sets, jaccard80), strict=True))
 
 
+@given(st.sets(st.integers(0, (1 << 64) - 1), min_size=1, max_size=300), st.sets(st.integers(0, (1 << 64) - 1), max_size=80), st.integers(0, 300))
+@settings(max_examples=60, deadline=None)
+def test_bitmaps_never_screen_out_a_link(common, more, gone):
+    x = np.array(sorted(common), np.uint64)
+    y = np.array(sorted(set(sorted(common)[min(gone, len(common) - 1) :]) | more), np.uint64)
+    a, b = ngram_join.parity(x), ngram_join.parity(y)
+    words = min(len(a), len(b))
+    apart = int(np.bitwise_count(ngram_join._folded(a[None], words) ^ ngram_join._folded(b[None], words)).sum())
+    both = len(np.intersect1d(x, y))
+    assert apart <= len(x) + len(y) - 2 * both
+    if 100 * both >= 80 * (len(x) + len(y) - both):
+        assert apart <= ngram_join.most_apart(len(x) + len(y), 80, 100)
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.ngram_jaccard(docs(spark, [])).count() == 0
     twice = ngram_join.ngram_jaccard(docs(spark, ["a b c", "a b c", "a b c", "x"], [7, 7, None, None])).collect()
@@ -292,6 +308,26 @@ def test_replicas_are_cut_independently(spark):
     assert runs[0] == runs[1] and len(set(runs[0])) == 3
 
 
+def test_files_with_another_splitter_get_whole_texts(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    told = json.loads(Tokenizer.from_file(vocabulary("word_bpe_49k.json")).to_str())
+    for i, change in enumerate(({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}})):
+        path = str(tmp_path / f"{i}.json")
+        (tmp_path / f"{i}.json").write_text(json.dumps(told | change))
+        texts = ["Hello World 12 it's", "", "ÀB  c <|endoftext|> d", None]
+        got = [ids[a:b].tolist() for ids, at in token_store.encode_column(pa.array(texts), path) for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert not token_store.word_tokenizer(path)[3]
+        assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert token_store.word_tokenizer(vocabulary("word_bpe_49k.json"))[3]
+
+
+def test_token_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        token_store.token_output(docs(spark, ["x"]).withColumn("doc_id", F.lit("a")), vocabulary("word_bpe_49k.json"))
+
+
 def test_elias_fano():
     for values in ([], [5], [0, 0, 0], [-7, -7, 3, 10**12], sorted(np.random.default_rng(0).integers(0, 10**6, 3000).tolist()), list(range(1000))):
         coded = EliasFano.from_bytes(EliasFano.of(np.array(values, np.int64)).to_bytes())
@@ -329,71 +365,6 @@ def test_token_files(spark, tmp_path):
         token_store.Shard(f"file://{tmp_path}/no.tok")
 
 
-PRIVATE = [
-    "mail Bob.Smith@Mail.org or bob.smith@mail.org now", "call +1 (988) 555-2485 or +1 988-555-2485", "card 4111 1111 1111 1111 and 4111111111111111 or 4111111111111112", "ip 10.1.2.3. ssn 123-45-6789",
-    "Dear Mrs. Jane Doe and Mr Karl Doe", "IBAN DE89 3704 0044 0532 0130 00", 'password=b7db7aa4a5fcc78305 token = "1beb58b8af6c509b1"', "г-жа Анна Петрова и г-н Пётр Анин",
-]
-
-
-def luhn(digits):
-    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(digits))) % 10 == 0
-
-
-def test_surrogates(spark):
-    clean = ["no data, 12 of 345 things; 1.5 and 2024-01-02", "Mr is a title", None, "", "x" * 9000]
-    rows = docs(spark, [*PRIVATE, *clean, PRIVATE[0]])
-    got = [r for r in pii.replace_entities(rows, count_col="k").orderBy("doc_id").collect()]
-    new = [r.text for r in got]
-    assert [r.k for r in got] == [2, 2, 3, 2, 2, 1, 2, 2, 0, 0, 0, 0, 0, 2]
-    assert new[8:13] == clean and new[13] == new[0] and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
-    for old in ("bob.smith", "555-2485", "4111", "10.1.2.3", "123-45", "Jane", "Karl", "3704", "b7db7", "1beb5", "Анна"):
-        assert not any(old.lower() in (t or "").lower() for t in new)
-    a, b = re.findall(r"\S+@\S+", new[0])
-    assert a == b and ".example." in a
-    phones = re.findall(r"\+1 .{14}|\+1 .{12}", new[1])
-    digits = [re.sub(r"\D", "", p) for p in re.findall(r"\+1[ ()\d-]+\d", new[1])]
-    assert digits[0] == digits[1] and phones and re.match(r"call \+1 \(\d{3}\) \d{3}-\d{4} or \+1 \d{3}-\d{3}-\d{4}$", new[1])
-    cards = [re.sub(" ", "", c) for c in re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", new[2])]
-    assert cards[0] == cards[1] != cards[2] and luhn(cards[0]) and all(c[0] == "4" for c in cards)
-    women, men = pii.GIVEN["latin"]["f"], pii.GIVEN["latin"]["m"]
-    m = re.fullmatch(r"Dear Mrs\. (\w+) (\w+) and Mr (\w+) (\w+)", new[4])
-    assert m[1] in women and m[3] in men
-    m = re.fullmatch(r"г-жа (\w+) (\w+) и г-н (\w+) (\w+)", new[7])
-    assert m[1] in pii.GIVEN["cyrillic"]["f"] and m[3] in pii.GIVEN["cyrillic"]["m"]
-    assert re.fullmatch(r"IBAN DE\d\d( \d{4}){4} \d\d", new[5])
-    assert re.fullmatch(r'password=[0-9a-f]{18} token = "[0-9a-f]{17}"', new[6])
-    other = pii.replace_entities(docs(spark, PRIVATE[:1]), key="another").first().text
-    assert other != new[0]
-
-
-def test_secrets_without_digits(spark):
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    keys = [w.replace("_", sep) for w in ("password", "passwd", "pwd", "secret", "token", "api_key", "access_key") for sep in ("_", "-", "")]
-    secrets = [f"{case(w)}{sign}{letters[:12]}" for w in keys for case in (str.lower, str.upper, str.title) for sign in ("=", " : ")]
-    secrets += ["AKIA" + UPPER[:16], "ghp_" + (letters + UPPER)[:36], "sk-" + letters[:20]]
-    rows = docs(spark, [f"so {x} it is" for x in secrets])
-    got = pii.replace_entities(rows, count_col="k").orderBy("doc_id").collect()
-    assert [r.k for r in got] == [1] * len(secrets)
-    assert not any(r.text == f"so {x} it is" for r, x in zip(got, secrets, strict=True))
-
-
-def test_surrogates_stay_distinct(spark):
-    names = [f"Mr {a}{b}" for a in UPPER for b in "abcdefghijklmnopqrstuvwxyzéèüö"]
-    ips = [f"{i}.{j}.7.9" for i in range(1, 40) for j in range(0, 250, 10)]
-    rows = docs(spark, [" and ".join(names) + ".", " or ".join(ips)])
-    got = {r.doc_id: r.text for r in pii.replace_entities(rows).collect()}
-    assert len(set(got[0].rstrip(".").split(" and "))) == len(names)
-    assert len(set(got[1].split(" or "))) == len(ips)
-
-
-def test_surrogate_edges(spark):
-    rows = docs(spark, ["a@b.org", "c@d.org x", "a@b.org", None], [1, 1, None, None]).withColumn("raw", F.lit(1)).withColumn("new", F.lit("c")).drop("n_chars")
-    got = pii.replace_entities(rows)
-    assert got.columns == rows.columns and got.count() == 4
-    assert not got.where("text like '%b.org%' or text like '%d.org%'").count()
-    assert pii.replace_entities(rows.limit(0)).count() == 0
-
-
 def test_mixing(spark):
     rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 10)).alias("source"))
     targets = {"hot": 1.0, "s1": 2.0, "s2": 1.0}
@@ -432,6 +403,8 @@ def test_mixing_edges(spark, monkeypatch):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
+    from .test_pii import PRIVATE
+
     rows, labels = labelled(spark, 150)
     more = docs(spark, [*PRIVATE, *EDGES, PRIVATE[0]], range(900, 901 + len(PRIVATE) + len(EDGES)))
     rows.unionByName(more).unionByName(rows.where("doc_id = 1").withColumn("doc_id", F.lit(800).cast("long"))).write.parquet(str(tmp_path / "documents.parquet"))
