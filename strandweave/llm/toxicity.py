@@ -150,7 +150,8 @@ def fit(row, feature, count, n, toxic, steps: int = 160, rate: float = 0.1, pena
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int):
-    """The model from at most ``sample`` labelled rows outside the held-out fold."""
+    """The model from at most ``sample`` labelled rows outside the held-out fold; the rows' order, which differs
+    from run to run, does not matter to it."""
     told = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % FOLDS != 0))
     told = told.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     told = told.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -165,12 +166,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 found += [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 counts += [count[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 totals += n.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(found, pa.binary()), pa.array(counts, pa.binary())], ["y", "n", "feature", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(totals, pa.int64()), pa.array(found, pa.binary()), pa.array(counts, pa.binary())], ["y", "h", "n", "feature", "count"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(told), "id").select("id", "y", "text")
-    got = rows.select("y", "text").mapInArrow(run, "y int, n long, feature binary, count binary").toArrow()
+    got = rows.select("y", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "y int, h long, n long, feature binary, count binary").toArrow()
     if not len(got):
         return None
+    got = got.sort_by([(c, "ascending") for c in ("h", "y", "n", "feature", "count")])
     found = [np.frombuffer(x.as_py(), np.int32) for x in got.column("feature")]
     counts = [np.frombuffer(x.as_py(), np.int32) for x in got.column("count")]
     row = np.repeat(np.arange(len(found)), [len(x) for x in found])
