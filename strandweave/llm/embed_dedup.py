@@ -19,37 +19,39 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .storage import Workspace
 
 #: Hash tables, probes of each, and rows of a block.
-TABLES, PROBES, BLOCK = 10, 4, 512
+TABLES, PROBES, BLOCK = 10, 4, 1024
 #: Nodes that a bucket should hold at most on average, which fixes the number of axes.
 PER_BUCKET = 32
 SEED = 2024
 
 
-def _rows(column: pa.Array) -> Iterator[np.ndarray | None]:
+def _rows(column: pa.ListArray) -> Iterator[np.ndarray | None]:
     """Each vector in double precision, or None where it is null, zero or has a null or non-finite part."""
-    for x in column.to_pylist():
-        if x is None or any(v is None for v in x):
-            yield None
-            continue
-        v = np.array(x, np.float64) + 0.0
-        yield v if np.isfinite(v).all() and v.any() else None
+    at = column.offsets.to_numpy().astype(np.int64)
+    x = pc.fill_null(column.values.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False) + 0.0
+    finite, filled = (np.concatenate([[0], np.cumsum(t)])[at] for t in (np.isfinite(x), x != 0))
+    good = column.is_valid().to_numpy(zero_copy_only=False) & (np.diff(finite) == np.diff(at)) & (np.diff(filled) > 0)
+    for ok, a, b in zip(good.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield x[a:b] if ok else None
 
 
-def _named(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, node, vec): the vector's bytes and their 64-bit name, null where it takes no part."""
+def _named(vectors: DataFrame, id_col: str, vector_col: str, part: np.dtype) -> DataFrame:
+    """(id, node, vec): the vector's bytes, each part as ``part``, and their 64-bit name, null where it takes no part."""
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            body = [None if v is None else v.tobytes() for v in _rows(batch.column(1))]
+            body = [None if v is None else v.astype(part).tobytes() for v in _rows(batch.column(1))]
             node = [None if b is None else int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(b)))) for b in body]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(body, pa.binary())], ["id", "node", "vec"])
 
@@ -100,12 +102,12 @@ def probes(x: np.ndarray, axes: int, tables: int = TABLES, count: int = PROBES,
     return out
 
 
-def _hashed(reps: DataFrame, axes: int, tables: int, count: int) -> DataFrame:
+def _hashed(reps: DataFrame, axes: int, tables: int, count: int, kind: np.dtype) -> DataFrame:
     """(node, k, vec, codes): every node with the bytes of its bucket names."""
 
     def run(batches):
         for batch in batches:
-            vecs = [np.frombuffer(v.as_buffer(), np.float64) for v in batch.column(2)]
+            vecs = [np.frombuffer(v.as_buffer(), kind).astype(np.float64) for v in batch.column(2)]
             codes: list = [b""] * len(vecs)
             by_size: dict[int, list[int]] = {}
             for i, v in enumerate(vecs):
@@ -120,14 +122,17 @@ def _hashed(reps: DataFrame, axes: int, tables: int, count: int) -> DataFrame:
     return reps.select("node", "k", "vec").mapInArrow(run, "node long, k long, vec binary, codes binary")
 
 
-def _buckets(hashed: DataFrame) -> DataFrame:
+def _buckets(hashed: DataFrame, count: int) -> DataFrame:
+    """(bucket, node, t): the buckets of every node, and the table that each is of."""
+
     def run(batches):
         for batch in batches:
-            codes = [np.unique(np.frombuffer(c.as_buffer(), np.int64)) for c in batch.column(1)]
-            sizes = [len(c) for c in codes]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *codes])), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], ["bucket", "node"])
+            found = [np.unique(np.frombuffer(c.as_buffer(), np.int64), return_index=True) for c in batch.column(1)]
+            sizes = [len(c) for c, _ in found]
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *(c for c, _ in found)])), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array((np.concatenate([none, *(i for _, i in found)]) // count).astype(np.int32))], ["bucket", "node", "t"])
 
-    return hashed.select("node", "codes").mapInArrow(run, "bucket long, node long")
+    return hashed.select("node", "codes").mapInArrow(run, "bucket long, node long, t int")
 
 
 def linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
@@ -137,21 +142,25 @@ def linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)) >= least
 
 
-def _owned(codes_a: np.ndarray, codes_b: np.ndarray, bucket: int) -> np.ndarray:
-    """Whether ``bucket`` is the first that each pair has in common: its first table's least name."""
-    out = np.zeros(len(codes_a), bool)
-    for a in range(0, len(out), 20_000):
-        u, v = codes_a[a : a + 20_000], codes_b[a : a + 20_000]
+def _owned(codes: np.ndarray, a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether ``bucket`` is the first that each pair of rows has in common: its first table's least name."""
+    out = np.zeros(len(a), bool)
+    for first in range(0, len(out), 10_000):
+        u, v = codes[a[first : first + 10_000]], codes[b[first : first + 10_000]]
         same = u[:, :, :, None] == v[:, :, None, :]
         table = same.any((2, 3)).argmax(1)
         row = np.arange(len(u))
         names = np.where(same[row, table].any(2), u[row, table], np.iinfo(np.int64).max)
-        out[a : a + 20_000] = names.min(1) == bucket
+        out[first : first + 10_000] = names.min(1) == bucket
     return out
 
 
-def _compare(blocks: DataFrame, least: float, tables: int, count: int) -> DataFrame:
-    """(kind 0, node, links) and (kind 1, a, b), from rows sorted by (bucket, i, j)."""
+def _compare(blocks: DataFrame, least: float, count: int, kind: np.dtype) -> DataFrame:
+    """(kind 0, node, links) and (kind 1, a, b), from rows sorted by (bucket, i, j).
+
+    A row's codes are those of its bucket's table and the tables before it, which is what tells whether a pair
+    has met before.
+    """
 
     def block(bucket, i, j, salt, node, k, vec, codes):
         own = np.flatnonzero(salt == i)
@@ -163,7 +172,7 @@ def _compare(blocks: DataFrame, least: float, tables: int, count: int) -> DataFr
             ok = np.triu(ok, 1)
         a, b = np.nonzero(ok)
         a, b = own[a], other[b]
-        mine = _owned(codes[a], codes[b], bucket)
+        mine = _owned(codes, a, b, bucket)
         a, b = a[mine], b[mine]
         if not len(a):
             return None
@@ -189,7 +198,7 @@ def _compare(blocks: DataFrame, least: float, tables: int, count: int) -> DataFr
                 by_size.setdefault(len(r[6]), []).append(r)
             for rows in by_size.values():  # vectors of another length never link
                 bucket, i, j, salt, node, k = (np.array([r[c] for r in rows], np.int64) for c in range(6))
-                found = block(int(bucket[0]), int(i[0]), int(j[0]), salt, node, k, np.stack([np.frombuffer(r[6], np.float64) for r in rows]), np.stack([np.frombuffer(r[7], np.int64).reshape(tables, count) for r in rows]))
+                found = block(int(bucket[0]), int(i[0]), int(j[0]), salt, node, k, np.stack([np.frombuffer(r[6], kind) for r in rows]).astype(np.float64), np.stack([np.frombuffer(r[7], np.int64).reshape(-1, count) for r in rows]))
                 if found:
                     yield found
 
@@ -224,26 +233,30 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "vectors")
-    named = work.table(_named(vectors, id_col, vector_col), "named")
+    single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = np.dtype("<f4" if single else "<f8")  # as wide as what comes in; cosines are in double precision
+    named = work.table(_named(vectors, id_col, vector_col, kind), "named")
     some = named.where("node is not null")
     reps = work.table(some.groupBy("node").agg(F.count("*").alias("k"), F.any_value("vec").alias("vec")), "reps")
     nodes, longest = reps.agg(F.count("*"), F.max(F.length("vec"))).first()
-    sides = 2 * max(4, 1 << ((longest or 8) // 8 - 1).bit_length())
+    sides = 2 * max(4, 1 << ((longest or 8) // kind.itemsize - 1).bit_length())
     axes = max(1, math.ceil(math.log(max(nodes, 1) * count / PER_BUCKET, sides))) if nodes * count > PER_BUCKET else 1
-    hashed = work.table(_hashed(reps, axes, tables, count), "hashed")
-    buckets = work.table(_buckets(hashed), "buckets")
+    hashed = work.table(_hashed(reps, axes, tables, count, kind), "hashed")
+    buckets = work.table(_buckets(hashed, count), "buckets")
     sizes = work.table(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     rows = buckets.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = work.table(rows.select("bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node"), "rows")
-    full = rows.join(hashed, "node").select("bucket", "i", "j", "salt", "node", "k", "vec", "codes")
+    rows = work.table(rows.select("bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "node", "t"), "rows")
+    known = F.substring(F.col("codes"), F.lit(1), (F.col("t") + 1) * 8 * count).alias("codes")
+    full = rows.join(hashed, "node").select("bucket", "i", "j", "salt", "node", "k", "vec", known)
     blocks = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    found = work.table(_compare(blocks, least, tables, count), "found")
+    found = work.table(_compare(blocks, least, count, kind), "found")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     labels = components(found.where("kind = 1").select("a", "b"), work)
     per_node = work.table(reps.select("node", "k").join(counts, "node", "left").join(labels, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("k") - 1).alias("n"), F.coalesce("root", "node").alias("root")), "per-node")
     marked = work.table(named.select("id", "node").join(per_node, "node", "left"), "marked")
     names = work.table(marked.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), "least")
+    work.keep("marked", "least")
     out = marked.join(names, "root", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

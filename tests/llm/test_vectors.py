@@ -67,7 +67,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [np.round(rng.normal(size=8) * (rng.random(8) < 0.6), 2) for _ in range(600)]
     rows[50:70] = [rows[100]] * 20  # ties
-    odd = [None, [None] * 8, [float("nan")] * 8, [1e30] * 8]
+    odd = [None, [None] * 8, [float("nan")] * 8, [float("-inf")] + [0] * 7]
     df = table(spark, enumerate([*rows, *odd])).withColumn("score", F.lit(1)).withColumn("terms", F.lit(1))
     got = [tuple(r) for r in topk.vector_top_k(df).orderBy("query_id", "rank").select("query_id", "rank", "vec_id", "score").collect()]
     whole = np.floor(1024 * np.array(rows, np.float32).astype(float)).astype(np.int64)
@@ -80,18 +80,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 
 def test_top_k_of_large_parts(spark):
     rng = np.random.default_rng(8)
-    rows = [np.round(rng.normal(size=4), 2) for _ in range(120)]
+    rows = [np.round(rng.normal(size=4), 2) for _ in range(320)]
     rows[0], rows[7], rows[100] = [2e5, 0.1, 0, 0], [2e5, 0.1, 1, 0], [-3e5, 1, 0, 2e12]
     rows[9], rows[11] = [1e3, 0, 0, -4e12], [0, 0, 0, 1e6]  # its score with 100 is far below 64 bits
-    got = [tuple(r) for r in topk.vector_top_k(table(spark, enumerate(rows))).where("query_id = 0").orderBy("rank").select("vec_id", "score").collect()]
-    whole = [[int(x) for x in v] for v in np.floor(1024 * np.array(rows, np.float32).astype(float))]
+    rows[12], rows[13], rows[14] = [1e30] * 4, [3e38, -3e38, 0, 1], [-1e30] * 4  # beyond 64 bits and 38 digits
+    rows[200], rows[300] = [3e38, 1, 0, 0], [1, 0, 0, 0]
+    got = [tuple(r) for r in topk.vector_top_k(table(spark, enumerate(rows))).orderBy("query_id", "rank").select("query_id", "vec_id", "score").collect()]
+    whole = [[int(np.floor(x * 1024)) if abs(x) < 1e15 else int(x) * 1024 for x in v] for v in np.array(rows, np.float32).astype(float)]
+    want = []
+    for q in range(0, 320, 100):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in range(320) if c != q)[:10]
+        want += [(q, c, min(2**63 - 1, -s)) for s, c in best]
+    assert got == want and got[30][1:] == (13, 2**63 - 1)
 
-    def wanted(q):
-        return sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in range(120) if c != q)[:10]
 
-    assert got == [(c, -s) for s, c in wanted(0)] and got[0][0] == 7
-    with pytest.raises(Exception, match="64 bits"):
-        topk.vector_top_k(table(spark, enumerate(rows))).collect()
+def test_sortable_bytes():
+    values = sorted([0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 10**80, -(10**80), 10**80 + 1])
+    assert sorted(values, key=topk.sortable) == values
 
 
 def test_top_k_edges(spark):
