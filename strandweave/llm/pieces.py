@@ -34,6 +34,9 @@ RATE, SEED = 0.1, 17
 LONG = 32
 #: Draws that are made, and new stretches that are segmented, at a time.
 DRAWS, MANY = 1 << 18, 1 << 14
+#: Stretches, and segmentations, that a worker remembers before it starts over: a stretch's candidates take some
+#: sixty bytes.
+REMEMBERED = 600_000
 #: Stands for the candidates of a stretch that is longer than LONG.
 _MANY = (1 << 32) - 1
 _MARK = "▁"
@@ -88,7 +91,7 @@ class Pieces:
         joined[128:, :128][:, 32] = joined[32, 32] = True
         self.joined = joined.ravel()
         self.longest = max(map(len, self.rank), default=0)
-        self.candidates = Memory()
+        self.candidates = Memory(REMEMBERED)
         self.memory: dict[tuple, Memory] = {}
 
     def segment(self, text: str, key: int, cutoff: int) -> list[int]:
@@ -250,7 +253,7 @@ class Pieces:
                 out[i] = self.segment(raw[a[i] : a[i] + size[i]].decode(), int(keys[i]), cutoff)
             return out
 
-        memory = self.memory.setdefault((rate, seed), Memory())
+        memory = self.memory.setdefault((rate, seed), Memory(REMEMBERED))
         begin, size = memory.lookup(h, missing)
         return memory.ids[ragged(begin, size)], np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[first]
 

@@ -32,8 +32,8 @@ from .storage import Workspace, partitions_for
 
 MAGIC = b"SWTOKENS"
 END_ID = 2
-#: Words that a worker remembers before it starts over (some thirty bytes each, in a table of a million places).
-REMEMBERED = 600_000
+#: Words that a worker remembers before it starts over.
+REMEMBERED = 1_500_000
 
 # fixed values: the normaliser and the splitter of the tokenizer file whose words ``units`` finds by itself; texts
 # go whole to the library where a file has others
@@ -103,7 +103,8 @@ def _all(text: bytes, part: bytes) -> Iterator[int]:
 class Memory:
     """Ids of byte strings met so far, by 64-bit hash, in an open-addressed table of numpy arrays."""
 
-    def __init__(self, bits: int = 16):
+    def __init__(self, most: int = REMEMBERED, bits: int = 16):
+        self.most = most
         self.mask = np.uint64((1 << bits) - 1)
         self.hash = np.zeros(1 << bits, np.uint64)
         self.start, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
@@ -133,8 +134,8 @@ class Memory:
     def lookup(self, h: np.ndarray, missing: Callable[[np.ndarray], list]) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) in ``ids`` of each hash; ``missing`` gives the ids of strings by index."""
         h = np.maximum(h, np.uint64(1))
-        if self.entries > REMEMBERED:
-            self.__init__()
+        if self.entries > self.most:
+            self.__init__(self.most)
         slot = self._find(h)
         new = np.flatnonzero(self.hash[slot] != h)
         if len(new):
