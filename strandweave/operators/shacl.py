@@ -4,7 +4,8 @@ A constraint is a row (shape, target_class, path, kind, param, items, severity,
 single values (datatype, nodeKind, in, pattern, ranges) are one join of the focus nodes with their values, both
 counts one aggregate, and hasValue, class and closed one join each: a graph is read at most five times however
 many shapes and constraints there are.  The constraint rows are small and meet the triples by broadcast,
-guarded by their count.
+guarded by their count.  What is made from triples is never broadcast: its size is estimated from the source's
+files, which hold a row for many triples, so such joins are merges, whatever the estimate.
 
 Items of ``in`` that are IRIs stand in angle brackets, so an IRI and a literal of one spelling differ.  Ranges
 are compared in the type of their limit: as timestamps where it looks like a date, else as numbers, exactly
@@ -43,7 +44,12 @@ def constraints(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def _small(rules: DataFrame) -> DataFrame:
-    return F.broadcast(rules) if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rules
+    return F.broadcast(rules) if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else _large(rules)
+
+
+def _large(df: DataFrame) -> DataFrame:
+    """One side of a join of which neither side is broadcast."""
+    return df.hint("merge")
 
 
 def focus_nodes(triples: DataFrame, rules: DataFrame) -> DataFrame:
@@ -56,7 +62,7 @@ def focus_nodes(triples: DataFrame, rules: DataFrame) -> DataFrame:
         from .hierarchy import closure
 
         below = closure(links).where("dist > 0").select("cls", F.col("ancestor").alias("target_class")).join(_small(wanted), "target_class")
-        direct = direct.unionByName(types.join(below, "cls").select("s", "target_class")).distinct()
+        direct = direct.unionByName(types.join(_small(below), "cls").select("s", "target_class")).distinct()
     return direct
 
 
@@ -103,6 +109,10 @@ def findings(triples: DataFrame, rules: DataFrame) -> DataFrame:
         """The focus nodes with the constraints of these kinds that hold for them."""
         return focus.join(_small(rules.where(F.col("kind").isin(*names))), "target_class")
 
+    def named(*names: str) -> DataFrame:
+        """The values whose paths constraints of these kinds name."""
+        return values.join(_small(rules.where(F.col("kind").isin(*names)).select("path").distinct()), "path", "left_semi")
+
     def told(*names: str) -> bool:
         return bool(kinds & set(names))
 
@@ -118,7 +128,8 @@ def findings(triples: DataFrame, rules: DataFrame) -> DataFrame:
         out.append(_found(wanted("maxCount", "minCount").join(counts, ["s", "path"], "left").where(F.when(most, n > limit).otherwise(n < limit)), n, text))
     if told("class"):
         members = focus_nodes(triples, rules.where("kind = 'class'").select(F.col("param").alias("target_class"))).select(F.col("s").alias("o"), F.col("target_class").alias("param"))
-        out.append(_found(wanted("class").join(values, ["s", "path"]).join(members, ["o", "param"], "left_anti"), F.col("o"), F.format_string("value is no %s", "param")))
+        held = wanted("class").join(_large(named("class")), ["s", "path"])
+        out.append(_found(held.join(_large(members), ["o", "param"], "left_anti"), F.col("o"), F.format_string("value is no %s", "param")))
     if told("hasValue"):
         out.append(_found(wanted("hasValue").join(values.select("s", "path", F.col("o").alias("param")), ["s", "path", "param"], "left_anti"), F.col("param"), F.lit("the value is missing")))
     if told("closed"):
