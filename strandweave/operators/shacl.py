@@ -131,7 +131,9 @@ def findings(triples: DataFrame, rules: DataFrame) -> DataFrame:
         held = wanted("class").join(_large(named("class")), ["s", "path"])
         out.append(_found(held.join(_large(members), ["o", "param"], "left_anti"), F.col("o"), F.format_string("value is no %s", "param")))
     if told("hasValue"):
-        out.append(_found(wanted("hasValue").join(values.select("s", "path", F.col("o").alias("param")), ["s", "path", "param"], "left_anti"), F.col("param"), F.lit("the value is missing")))
+        asked = rules.where("kind = 'hasValue'").select("path", "param").distinct()
+        there = values.select("s", "path", F.col("o").alias("param")).join(_small(asked), ["path", "param"], "left_semi")
+        out.append(_found(wanted("hasValue").join(_large(there), ["s", "path", "param"], "left_anti"), F.col("param"), F.lit("the value is missing")))
     if told("closed"):
         allowed = rules.where("kind <> 'closed' and path is not null").groupBy("shape").agg(F.collect_set("path").alias("paths"))
         closed = rules.where("kind = 'closed'").drop("path").join(allowed, "shape", "left")

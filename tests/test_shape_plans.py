@@ -40,3 +40,8 @@ def _found(spark, graph, *rules):
 
 def test_class_broadcasts_no_graph(spark, graph):
     assert _found(spark, graph, {"path": "n:to", "kind": "class", "param": "n:D"}) == [("n:b", "n:to", "class", "n:a"), ("n:b", "n:to", "class", "n:x")]
+
+
+def test_has_value_broadcasts_no_graph(spark, graph):
+    rules = [{"path": "n:v", "kind": "hasValue", "param": "2"}, {"path": "n:to", "kind": "hasValue", "param": "n:x"}]
+    assert _found(spark, graph, *rules) == [("n:a", "n:to", "hasValue", "n:x"), ("n:b", "n:v", "hasValue", "2")]
