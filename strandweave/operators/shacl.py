@@ -138,7 +138,8 @@ def findings(triples: DataFrame, rules: DataFrame) -> DataFrame:
         allowed = rules.where("kind <> 'closed' and path is not null").groupBy("shape").agg(F.collect_set("path").alias("paths"))
         closed = rules.where("kind = 'closed'").drop("path").join(allowed, "shape", "left")
         every = F.array_union(F.coalesce("paths", F.array().cast("array<string>")), F.coalesce("items", F.array().cast("array<string>")))
-        df = focus.join(_small(closed.withColumn("known", every)), "target_class").join(values, "s").where(~F.array_contains("known", F.col("path")))
+        held = focus.join(_small(closed.select("target_class").distinct()), "target_class", "left_semi").join(_large(values), "s")
+        df = held.join(_small(closed.withColumn("known", every)), "target_class").where(~F.array_contains("known", F.col("path")))
         out.append(_found(df, F.col("o"), F.lit("the shape is closed and does not know this property")))
     empty = triples.sparkSession.createDataFrame([], "shape string, focus string, path string, constraint string, value string, severity string, message string")
     return reduce(DataFrame.unionByName, out, empty)

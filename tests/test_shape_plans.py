@@ -45,3 +45,8 @@ def test_class_broadcasts_no_graph(spark, graph):
 def test_has_value_broadcasts_no_graph(spark, graph):
     rules = [{"path": "n:v", "kind": "hasValue", "param": "2"}, {"path": "n:to", "kind": "hasValue", "param": "n:x"}]
     assert _found(spark, graph, *rules) == [("n:a", "n:to", "hasValue", "n:x"), ("n:b", "n:v", "hasValue", "2")]
+
+
+def test_closed_broadcasts_no_graph(spark, graph):
+    rules = [{"kind": "closed", "param": "true", "items": [vocab.RDF_TYPE]}, {"path": "n:to", "kind": "hasValue", "param": "n:x"}]
+    assert [r for r in _found(spark, graph, *rules) if r[2] == "closed"] == [("n:a", "n:v", "closed", "1"), ("n:a", "n:v", "closed", "2"), ("n:b", "n:v", "closed", "3")]
