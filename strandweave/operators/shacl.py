@@ -119,13 +119,13 @@ def findings(triples: DataFrame, rules: DataFrame) -> DataFrame:
     if told(*ON_VALUES):
         text = F.when(F.col("kind") == "datatype", F.format_string("value is not a %s", "param")).when(F.col("kind") == "nodeKind", F.format_string("value is no %s", F.substring_index("param", "#", -1)))
         text = text.when(F.col("kind") == "in", "value is not in the list").when(F.col("kind") == "pattern", F.format_string("value does not match %s", "param")).otherwise(F.format_string("value fails %s %s", "kind", "param"))
-        out.append(_found(wanted(*ON_VALUES).join(values, ["s", "path"]).where(~_value_conforms()), F.col("o"), text))
+        held = focus.join(_large(named(*ON_VALUES)), "s").join(_small(rules.where(F.col("kind").isin(*ON_VALUES))), ["target_class", "path"])
+        out.append(_found(held.where(~_value_conforms()), F.col("o"), text))
     if told("maxCount", "minCount"):
-        paths = rules.where("kind in ('maxCount', 'minCount')").select("path").distinct()
-        counts = values.join(_small(paths), "path", "left_semi").groupBy("s", "path").agg(F.count("*").alias("n"))
+        counts = named("maxCount", "minCount").groupBy("s", "path").agg(F.count("*").alias("n"))
         n, limit, most = F.coalesce("n", F.lit(0)), F.col("param").cast("long"), F.col("kind") == "maxCount"
         text = F.format_string("%s than %s values", F.when(most, "more").otherwise("fewer"), "param")
-        out.append(_found(wanted("maxCount", "minCount").join(counts, ["s", "path"], "left").where(F.when(most, n > limit).otherwise(n < limit)), n, text))
+        out.append(_found(wanted("maxCount", "minCount").join(_large(counts), ["s", "path"], "left").where(F.when(most, n > limit).otherwise(n < limit)), n, text))
     if told("class"):
         members = focus_nodes(triples, rules.where("kind = 'class'").select(F.col("param").alias("target_class"))).select(F.col("s").alias("o"), F.col("target_class").alias("param"))
         held = wanted("class").join(_large(named("class")), ["s", "path"])

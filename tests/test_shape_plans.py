@@ -50,3 +50,14 @@ def test_has_value_broadcasts_no_graph(spark, graph):
 def test_closed_broadcasts_no_graph(spark, graph):
     rules = [{"kind": "closed", "param": "true", "items": [vocab.RDF_TYPE]}, {"path": "n:to", "kind": "hasValue", "param": "n:x"}]
     assert [r for r in _found(spark, graph, *rules) if r[2] == "closed"] == [("n:a", "n:v", "closed", "1"), ("n:a", "n:v", "closed", "2"), ("n:b", "n:v", "closed", "3")]
+
+
+def test_report_broadcasts_no_graph(spark, graph):
+    path = {"path": "n:v"}
+    rules = [path | {"kind": "maxCount", "param": 1}, {"path": "n:w", "kind": "minCount", "param": 1}, path | {"kind": "in", "items": ["1", "2"]}, path | {"kind": "maxInclusive", "param": 1, "severity": "Warning"}]
+    rules += [{"path": "n:to", "kind": "class", "param": "n:C"}, path | {"kind": "hasValue", "param": "3"}, {"kind": "closed", "param": "true", "items": [vocab.RDF_TYPE]}]
+    want = [("n:a", "n:to", "class", "n:d"), ("n:a", "n:v", "hasValue", "3"), ("n:a", "n:v", "maxCount", "2"), ("n:a", "n:v", "maxInclusive", "2"), ("n:a", "n:w", "minCount", "0")]
+    want += [("n:b", "n:to", "class", "n:x"), ("n:b", "n:v", "in", "3"), ("n:b", "n:v", "maxInclusive", "3"), ("n:b", "n:w", "minCount", "0")]
+    assert _found(spark, graph, *rules) == want
+    report = shacl.report(shacl.findings(graph, shacl.constraints(spark, [BASE | r for r in rules])))
+    assert _broadcast_scans(report) == 0 and tuple(report.first()) == (7, 2, 0, False)
