@@ -2,12 +2,14 @@
 
 The target schema's vectors are one side of a nested-loop join.  They are broadcast while they are within
 ``BROADCAST_BYTES``; beyond that both sides are dealt into blocks that meet by equality, so no side has to fit
-in one task.
+in one task.  Where only the best or the similar pairs are wanted, blocks are multiplied as matrices, and no other
+pair becomes a row.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ BROADCAST_BYTES, BLOCK_BYTES = 32 << 20, 16 << 20
 #: Bytes that a row has beside its vectors, about.
 ROW_BYTES = 64
 LEAST_NORM = 1e-10
+#: Sources of a block that meets a block of targets, and scores that are held at once.
+SOURCE_ROWS, CELLS = 2048, 1 << 20
 #: Digits to which scores that differ only by the order of a sum count as equal.
 TIE_DIGITS = 12
 
@@ -101,6 +105,63 @@ def _matrix(column) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), LEAST_NORM)
 
 
+def similar_pairs(source: DataFrame, target: DataFrame, min_score: float = 0.0, weight: float = 0.2, digits: int = 6) -> DataFrame:
+    """(subject_id, object_id, score): the pairs of ``scores`` whose rounded score reaches ``min_score``, without a
+    row for any other pair.
+
+    Targets are dealt into blocks of ``BLOCK_BYTES``, sources into blocks of ``SOURCE_ROWS``, and each block meets
+    each of the other side in one task, by shuffle: nothing goes through the driver.  A task holds one block of
+    targets and ``CELLS`` scores at a time, however many pairs it finds.  Vectors that are null or hold null have no
+    candidates and are none.
+    """
+    use = ["vector", *(["structure"] if _blended(source, target) else [])]
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull()) for c in use])
+    left, right = (df.where(whole).select(F.col(name).cast("string").alias("id"), *use) for df, name in ((source, "subject_id"), (target, "object_id")))
+    for c in use:
+        check_dimensions(left, right, c)
+    rows, *longest = right.agg(F.count("*"), *[F.max(F.size(c)) for c in use]).first()
+    down, across = max(1, -(-left.count() // SOURCE_ROWS)), max(1, -(-rows * (ROW_BYTES + 8 * sum(n or 0 for n in longest)) // BLOCK_BYTES))
+
+    def dealt(df: DataFrame, side: int, own: int, other: int, block: Column) -> DataFrame:
+        met = df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(own))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
+        return met.select((block * 2 + side).alias("part"), "id", *use)
+
+    sides = dealt(right, 0, across, down, F.col("other") * across + F.col("own")).unionByName(dealt(left, 1, down, across, F.col("own") * across + F.col("other")))
+    parts = sides.repartition(down * across, F.shiftright("part", 1)).sortWithinPartitions("part")
+
+    def run(batches):
+        block, names, held, targets = None, [], [], []
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if start == end:
+                    continue
+                if part[start] >> 1 != block:
+                    block, names, held, targets = part[start] >> 1, [], [], []
+                rows = batch.slice(start, end - start)
+                matrices = [_matrix(rows.column(i + 2)) for i in range(len(use))]
+                if part[start] % 2 == 0:
+                    names.append(rows.column(1))
+                    held.append(matrices)
+                    continue
+                if held:
+                    names, targets, held = pa.concat_arrays(names), [np.concatenate(m).T for m in zip(*held, strict=True)], []
+                if not targets:
+                    continue
+                step = max(1, CELLS // len(names))
+                for at in range(0, len(rows), step):
+                    raw = matrices[0][at : at + step] @ targets[0]
+                    if len(use) > 1:
+                        raw = (1 - weight) * raw + weight * (matrices[1][at : at + step] @ targets[1])
+                    i, j = np.nonzero(~(raw < min_score - 10.0**-digits))  # the exact test follows on rounded scores
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(i + at)), names.take(pa.array(j)), pa.array(raw[i, j])], ["subject_id", "object_id", "score"])
+
+    found = parts.mapInArrow(run, "subject_id string, object_id string, score double")
+    return found.withColumn("score", F.round("score", digits)).where(F.col("score") >= min_score)
+
+
 def best_candidates(source: DataFrame, target: DataFrame, top_k: int = 5, min_score: float = 0.0, weight: float = 0.2, digits: int = 6) -> DataFrame:
     """(subject_id, object_id, score, rank): ``rank`` of ``scores``, without a row a pair.
 

@@ -261,7 +261,7 @@ _PAIRS = "pairs AS (SELECT 's:' || s.vec_id AS subject_id, 't:' || t.vec_id AS o
 @_register(f"WITH {_PAIRS} SELECT subject_id, object_id, round(cos, 4) AS score FROM pairs WHERE round(cos, 4) >= 0.3")
 def cosine_pairs(spark, d):
     left, right = (x.drop("structure") for x in _sides(spark, d))
-    return vectors.scores(left, right).select("subject_id", "object_id", F.round("score", 4).alias("score")).where("score >= 0.3")
+    return vectors.similar_pairs(left, right, 0.3, digits=4)
 
 
 _TOP = f"WITH {_PAIRS}, scored AS (SELECT *, {{}} AS raw FROM pairs), top AS (SELECT subject_id, object_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY subject_id ORDER BY round(raw, 9) DESC, pos DESC)::INT AS rank FROM scored WHERE round(raw, 4) >= 0)"
